@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import bpe, secret_scan, simhash
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_bpe": bpe.op2_bpe,
+    "op5_simhash": simhash.op5_simhash,
 }
 
 ORACLES = {
