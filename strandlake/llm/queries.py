@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, lang_id, packing, quality_rules, secret_scan, simhash
+from . import bpe, lang_id, packing, quality_model, quality_rules, secret_scan, simhash
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_bpe": bpe.op2_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
+    "op7_quality_model": quality_model.op7_quality_model,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_lang_id": lang_id.op10_lang_id,
 }
