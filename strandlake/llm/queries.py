@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lang_id, packing, quality_model, quality_rules, secret_scan, simhash
+from . import bpe, lang_id, packing, quality_model, quality_rules, secret_scan, simhash, vector_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
     "op7_quality_model": quality_model.op7_quality_model,
+    "op8_vector_dedup": vector_dedup.op8_vector_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_lang_id": lang_id.op10_lang_id,
 }
