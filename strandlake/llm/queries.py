@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, lang_id, packing, quality_model, quality_rules, secret_scan, simhash, vector_dedup
+from . import bpe, lang_id, packing, quality_model, quality_rules, secret_scan, simhash, vector_dedup, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_bpe": bpe.op2_bpe,
+    "op3_warc": warc.op3_warc,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
     "op7_quality_model": quality_model.op7_quality_model,
@@ -17,4 +18,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_secret_scan": secret_scan.oracle(),
+    "op3_warc": warc.ORACLE,
 }
