@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -64,3 +65,9 @@ def require(df: DataFrame, *columns: str) -> None:
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps, which it does when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

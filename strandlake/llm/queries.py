@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lang_id, packing, quality_model, quality_rules, secret_scan, simhash, vector_dedup, warc
+from . import bpe, lang_id, line_dedup, packing, quality_model, quality_rules, secret_scan, simhash, vector_dedup, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_bpe": bpe.op2_bpe,
     "op3_warc": warc.op3_warc,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
     "op7_quality_model": quality_model.op7_quality_model,
