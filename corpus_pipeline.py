@@ -1,5 +1,56 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: documents that the quality rules keep lose repeated lines, near-duplicates and secrets, and are packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared folder and reads it
+as the next stage's documents. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandlake.llm import line_dedup, packing, quality_rules, secret_scan, simhash
+from strandlake.llm.common import fresh_path, table, vocabulary, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.accepted(docs, vocabulary("piece_bpe_32k.model"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of like lines the first one stays; documents without a line left go."""
+    return line_dedup.without_repeats(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.dedupe(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secret_scan.redact(docs, fresh_path(spark, "ledger"))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in windows of 4,096."""
+    return packing.windows(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("packing", pack_windows),
+]
+
+#: SQL can't express the tokenizers, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
