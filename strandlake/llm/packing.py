@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import CACHE_BYTES, CACHE_WORDS, NEAR_DIGITS, slices
+from .bpe import CACHE_BYTES, NEAR_DIGITS, slices
 from .common import require, table, vocabulary, written
 
 CAPACITY = 4096
 BATCH = 1024
 END = 2
+#: New words that are encoded as one text, and words that a worker keeps.
+JOINED = 64
+CACHE_WORDS = 1_000_000
 
 # The splitting pattern of the vocabulary file for lower-case texts of the characters below.
 LOW_LETTERS = "a-zªµºß-öø-ʯ"
@@ -52,8 +55,25 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.cache: dict[str, bytes] = {}
 
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Many are encoded as one text, which is cut after the tokens that end a word, one to a word."""
+        out = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * np.nonzero(self.ends[ids])[0] + 4).tolist()
+            if len(ends) == len(some):
+                coded = ids.tobytes()
+                out += [coded[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self.whole(some)
+        return out
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
@@ -67,7 +87,7 @@ class Words:
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = list({w for ws in usual if ws for w in ws})
-        known.update(zip(new, self.whole(new), strict=True))
+        known.update(zip(new, self.fresh(new), strict=True))
         get = known.__getitem__
         rest = iter(self.whole([t for t, ws in zip(texts, usual, strict=True) if ws is None]))
         out = [next(rest) if ws is None else b"".join(map(get, ws)) for ws in usual]
