@@ -4,7 +4,8 @@ Fertility is measured on whole texts with a SentencePiece vocabulary: characters
 tokens that fall back to bytes, and the entropy of the tokens. What is usual differs by language and length, so
 rejection bands belong to a class: the language if it is given, else the script of most letters, and the power of two
 below the number of tokens. A band reaches ``WIDTH`` robust deviations (from quartiles over all rows of the class, each side for itself)
-from the median. Classes of fewer than ``LEAST`` rows have no bands, and their documents are judged by the base rules.
+from the median. Where fewer than ``LEAST`` rows are of a size, the bands of the whole class count; where a class has fewer, the base
+rules alone do.
 
 Edge cases: null texts have no words and fail the base rules, as do empty ones; null languages fall back to the script; null or
 repeated ids keep their rows; an empty table gives an empty result; other columns are kept by ``judged`` and ignored by the query.
@@ -118,29 +119,32 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(found: DataFrame) -> DataFrame:
+def bands(found: DataFrame, *keys: str) -> DataFrame:
     """Bounds of each class, from all its rows."""
     quartiles = [F.percentile_approx(k, [0.25, 0.5, 0.75], 2000).alias(k) for k in FLOOR]
-    sums = found.groupBy("class", "size").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= LEAST)
+    sums = found.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= LEAST)
     sides = []
     for k, floor in FLOOR.items():
         low, mid, high = (F.col(k)[i] for i in range(3))
         sides += [(mid - WIDTH * F.greatest((mid - low) / 0.6745, F.lit(floor))).alias(f"{k}_low"), (mid + WIDTH * F.greatest((high - mid) / 0.6745, F.lit(floor))).alias(f"{k}_high")]
-    return sums.select("class", "size", *sides)
+    return sums.select(*keys, *sides)
 
 
 def verdicts(found: DataFrame) -> DataFrame:
     """``found``, a written table of measures, with ``base_failed`` and ``kept``."""
     found = found.withColumn("class", F.coalesce("lang", F.concat(F.lit("script "), "script"))).withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
-    bounds = written(bands(found.filter(F.col("n_words") >= LEAST_WORDS)), "bands")
-    # Languages are few, but that is checked before they are broadcast.
-    bounds = F.broadcast(bounds) if bounds.count() <= 10_000 else bounds
+    judged = found.withColumn("base_failed", base_failed())
+    usual = found.filter(F.col("n_words") >= LEAST_WORDS)
+    for keys in (["class", "size"], ["class"]):
+        bounds = written(bands(usual, *keys), "bands")
+        bounds = bounds.select(*keys, *[F.col(c).alias(f"{c}_{len(keys)}") for c in bounds.columns if c not in keys])
+        # Languages are few, but that is checked before they are broadcast.
+        judged = judged.join(F.broadcast(bounds) if bounds.count() <= 10_000 else bounds, keys, "left")
     out = F.lit(False)
     for k, sides in (("chars_per_token", ("low", "high")), ("byte_share", ("high",)), ("entropy", ("low",))):
         for side in sides:
-            bound = F.col(f"{k}_{side}")
+            bound = F.coalesce(f"{k}_{side}_2", f"{k}_{side}_1")
             out = out | F.coalesce(F.col(k) < bound if side == "low" else F.col(k) > bound, F.lit(False))
-    judged = found.join(bounds, ["class", "size"], "left").withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & ~out)
 
 
