@@ -1,12 +1,15 @@
 """SimHash near-duplicates with anchor points of a covering code.
 
-Fingerprints of 64 bits link at ``distance`` or fewer differing bits. They are cut into ``BLOCKS``
-blocks, so that a linked pair differs in at most ``distance // BLOCKS`` = 1 bit of some block. A block
-is a word of the binary Golay code's space of 23 bits (shorter blocks have zeros above), whose
-4,096 code words are the anchors; every word is within the covering radius 3 of one. Each fingerprint
-goes to every anchor within radius plus threshold, 3 + 1, of each of its blocks: about 5 of 4,096. Of a
-pair that differs in one bit of a block, the anchor next to the one is then within reach of the
-other, so every linked pair meets at some anchor.
+Fingerprints link at ``distance`` or fewer differing bits. They are cut into blocks; a block is a word of the space of a perfect
+code, whose code words are the anchors, and every word is within the covering radius of one. Each fingerprint goes to every
+anchor within radius plus threshold of each of its blocks. Of a pair that differs in no more bits of a block than the threshold,
+the anchor next to the one is then within reach of the other, so the pair meets there. Two schemes are made of this:
+
+* ``EXACT``: 64 bits in three blocks, the binary Golay code (23 bits, radius 3, 4,096 anchors; shorter blocks have zeros above),
+  threshold 1. A pair that differs in 4 bits differs in one bit at most of some block, so every link is found.
+* ``WIDE``: for a given similarity of shingle sets rather than a number of bits. 192 bits in twelve blocks of 15, the Hamming code
+  (15 bits, radius 1, 2,048 anchors), threshold 1, links at 36 bits. At Jaccard similarity 0.8 two fingerprints differ in 29 bits of 192
+  on average; a pair is linked with probability 0.92 there, 0.99 at 0.85, 0.01 at 0.5.
 
 Fingerprints are compared once for all documents that share them. At an anchor they are compared
 by exclusive or and bit count, in blocks; out go only edges of a spanning forest, never all pairs. A large
@@ -20,6 +23,7 @@ stay; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -33,12 +37,27 @@ from .common import require, table, written
 from .components import components
 
 SEED = 42
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-RADIUS = 3
 #: Most fingerprints in one part of an anchor.
 PART = 2048
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """``blocks``: (word, lowest bit, bits) of a fingerprint of ``words`` 64-bit words; ``generator`` makes a code of dimension ``k``."""
+
+    words: int
+    blocks: tuple[tuple[int, int, int], ...]
+    generator: int
+    k: int
+    radius: int
+    threshold: int
+    distance: int
+
+
+EXACT = Scheme(1, ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 0b101011100011, 12, 3, 1, 4)
+WIDE = Scheme(3, tuple((w, 16 * i, 15) for w in range(3) for i in range(4)), 0b10011, 11, 1, 1, 36)
+
+
 def shingles(text: str, size: int) -> list[bytes]:
     words = text.encode().lower().split()  # bytes: only A-Z are lowered, only the six ASCII white spaces split
     if len(words) <= size:
@@ -46,59 +65,74 @@ def shingles(text: str, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def fingerprint(text: str, size: int = 4) -> int:
-    """SimHash of the shingles of ``size`` words: a bit is 1 if it is in more than half of their XXH64 values."""
+def fingerprint(text: str, size: int = 4, words: int = 1) -> list[int]:
+    """SimHash of the shingles of ``size`` words: a bit is 1 if it is in more than half of their XXH64 values; one seed to a word."""
     parts = shingles(text, size)
     if not parts:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, SEED) for p in parts], dtype=">u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big")
+        return [0] * words
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in range(SEED, SEED + words):
+        hashes = np.array([digest(p, seed) for p in parts], dtype=">u8")
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 4096):
+            part = hashes[at : at + 4096]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big"))
+    return out
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id") -> DataFrame:
-    """(key, fp): the fingerprint of every text as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", words: int = 1) -> DataFrame:
+    """(key, fp, words) of every text: the fingerprint's words in binary, and as a signed integer, or a hash of them if there are several."""
     require(docs, key, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array([signed(fingerprint(t, size)) for t in texts], pa.int64())], [key, "fp"])
+            found = [np.array(fingerprint(t, size, words), dtype="<u8") for t in texts]
+            names = [signed(int(x[0]) if words == 1 else xxhash.xxh64_intdigest(x.tobytes())) for x in found]
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], [key, "fp", "words"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long, words binary")
 
 
 @cache
-def anchors() -> np.ndarray:
-    """The code words of the binary Golay code: multiples of its generator polynomial, in all 4,096 ways."""
-    generator = 0b101011100011
-    words = np.zeros(4096, dtype=np.uint32)
-    for bit in range(12):
-        words ^= np.where(np.arange(4096) >> bit & 1, np.uint32(generator << bit), np.uint32(0))
+def anchors(generator: int = EXACT.generator, k: int = EXACT.k) -> np.ndarray:
+    """The code words of a cyclic code: multiples of its generator polynomial, in all ways."""
+    words = np.zeros(1 << k, dtype=np.uint32)
+    for bit in range(k):
+        words ^= np.where(np.arange(1 << k) >> bit & 1, np.uint32(generator << bit), np.uint32(0))
     return words
 
 
-def replicas(fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the fingerprint, anchor) of all anchors within ``reach`` of each block."""
+def replicas(fps: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``fps``, anchor) of all anchors within reach of each block; ``fps`` has a row of words for each fingerprint."""
     rows, names = [], []
-    code = anchors()
-    for i, (at, width) in enumerate(BLOCKS):
-        block = (fps >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.uint32)
+    code = anchors(scheme.generator, scheme.k)
+    for i, (word, at, width) in enumerate(scheme.blocks):
+        block = (fps[:, word] >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.uint32)
         for low in range(0, len(block), 512):
-            near = np.bitwise_count(block[low : low + 512, None] ^ code[None, :]) <= reach
-            row, word = np.nonzero(near)
+            near = np.bitwise_count(block[low : low + 512, None] ^ code[None, :]) <= scheme.radius + scheme.threshold
+            row, name = np.nonzero(near)
             rows.append(row + low)
-            names.append(word.astype(np.int64) + i * len(code))
+            names.append(name.astype(np.int64) + i * len(code))
     return np.concatenate(rows), np.concatenate(names)
 
 
+def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of ``left`` and each of ``right``."""
+    total = np.bitwise_count(left[:, 0, None] ^ right[None, :, 0])
+    for w in range(1, left.shape[1]):
+        total = total + np.bitwise_count(left[:, w, None] ^ right[None, :, w])
+    return total
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words)
+
+
 def forest(left: np.ndarray, right: np.ndarray, distance: int, rows: int = 512) -> tuple[list[int], list[int]]:
     """Edges (positions in left, in right) of a spanning forest of all links between the two; equal arrays: within one."""
     same, n = left is right, len(left)
@@ -112,7 +146,7 @@ def forest(left: np.ndarray, right: np.ndarray, distance: int, rows: int = 512)
 
     us, vs = [], []
     for low in range(0, n, rows):
-        a, b = np.nonzero(np.bitwise_count(left[low : low + rows, None] ^ right[None, :]) <= distance)
+        a, b = np.nonzero(differing(left[low : low + rows], right) <= distance)
         a = a + low
         if same:
             keep = a < b
@@ -126,70 +160,73 @@ def forest(left: np.ndarray, right: np.ndarray, distance: int, rows: int = 512)
     return us, vs
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(u, v): fingerprints of ``fps(fp)`` (distinct) that link, enough of them to connect what all links connect."""
-    spark = fps.sparkSession
-    reach = RADIUS + distance // len(BLOCKS)
+def links(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """(u, v): fingerprints of ``fps(fp, words)`` (distinct) that link, enough of them to connect what all links that are found connect."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                fp = batch.column("fp").slice(at, 4096).to_numpy(zero_copy_only=False)
-                row, anchor = replicas(fp.view(np.uint64), reach)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row])], ["anchor", "fp"])
-
-    placed = written(fps.select("fp").mapInArrow(replicate, "anchor long, fp long"), "anchors")
-    # Anchors with more than PART members are dealt out as pairs of parts; few anchors are, so their list is short: 12,288 at most.
-    sizes = placed.groupBy("anchor").agg(F.count("*").alias("n")).select("anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                row, anchor = replicas(matrix(part.column("words"), scheme.words), scheme)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column("fp").take(row), part.column("words").take(row)], ["anchor", "fp", "words"])
+
+    placed = written(fps.select("fp", "words").mapInArrow(replicate, "anchor long, fp long, words binary"), "anchors")
+    # Anchors with more than PART members are dealt out as pairs of parts. There are as many anchors as blocks times code words:
+    # 12,288 or 24,576, so their sizes may be broadcast.
+    sizes = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = placed.join(F.broadcast(sizes), "anchor").withColumn("part", part)
     other = F.explode(F.expr("sequence(0, parts - 1)"))
-    dealt = dealt.withColumn("other", other).select("anchor", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
+    dealt = dealt.withColumn("other", other).select("anchor", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "words")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
-        fp, part = group.column("fp").to_numpy(), group.column("part").to_numpy()
+        fp, part, bits = group.column("fp").to_numpy(), group.column("part").to_numpy(), matrix(group.column("words"), scheme.words)
         if key[1].as_py() == key[2].as_py():
-            left = right = fp
+            left = right = np.arange(len(fp))
+            us, vs = forest(bits, bits, scheme.distance)
         else:
-            left, right = fp[part == key[1].as_py()], fp[part != key[1].as_py()]
-        us, vs = forest(left.view(np.uint64), left.view(np.uint64) if left is right else right.view(np.uint64), distance)
-        return pa.table({"u": pa.array(left[us], pa.int64()), "v": pa.array(right[vs], pa.int64())})
+            left, right = np.nonzero(part == key[1].as_py())[0], np.nonzero(part != key[1].as_py())[0]
+            us, vs = forest(bits[left], bits[right], scheme.distance)
+        return pa.table({"u": pa.array(fp[left[us]], pa.int64()), "v": pa.array(fp[right[vs]], pa.int64())})
 
     return dealt.groupBy("anchor", "a", "b").applyInArrow(compare, "u long, v long")
 
 
-def grouped(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """(fp, component_id) of each fingerprint in the written table ``prints(doc_id, fp)``."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(written(links(classes, distance), "links"))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(least, "component").select("fp", "component_id")
+def grouped(prints: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """(fp, component) of each fingerprint in the written table ``prints(fp, words)``; component is the group's least fp."""
+    classes = written(prints.groupBy("fp", "words").agg(F.count("*").alias("n")), "classes")
+    found = components(written(links(classes, scheme), "links"))
+    return classes.select("fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, scheme: Scheme = EXACT) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the least doc_id of its group."""
-    prints = written(fingerprints(docs, size), "fingerprints")
-    return prints.join(grouped(prints, distance), "fp").select("doc_id", "fp", "component_id")
+    prints = written(fingerprints(docs, size, words=scheme.words), "fingerprints")
+    named = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(grouped(prints, scheme), "fp")
+    named = written(named, "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "fp").join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 
-def dedupe(docs: DataFrame, size: int = 5, distance: int = 4) -> DataFrame:
+def dedupe(docs: DataFrame, size: int = 5, scheme: Scheme = WIDE) -> DataFrame:
     """``docs`` with one row of each group, that with the least doc_id (null only where all are); columns stay.
 
     Rows are known by a hash of id and text, so of repeated rows one stays.
     """
     require(docs, "doc_id", "text")
     row = F.xxhash64("doc_id", "text")
-    prints = written(fingerprints(docs.select(F.struct("doc_id", row.alias("at")).alias("row"), "text"), size, "row").select("row.*", "fp"), "fingerprints")
+    named = docs.select(F.struct("doc_id", row.alias("at")).alias("row"), "text")
+    prints = written(fingerprints(named, size, "row", scheme.words).select("row.*", "fp", "words"), "fingerprints")
     # Nulls order first in a struct, so whether there is an id comes before the id.
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
-    groups = prints.groupBy("fp").agg(best.alias("best")).join(grouped(prints, distance).withColumn("component_id", F.coalesce("component_id", "fp")), "fp")
-    kept = groups.groupBy("component_id").agg(F.min("best").alias("best")).select(F.col("best.at").alias("__at"))
+    groups = prints.groupBy("fp").agg(best.alias("best")).join(grouped(prints, scheme), "fp")
+    kept = groups.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.at").alias("__at"))
     chosen = docs.withColumn("__at", row).join(kept.hint("shuffle_hash"), "__at", "left_semi")
     return chosen.dropDuplicates(["__at"]).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``: 4-word shingles, links at 4 or fewer differing bits."""
-    found = near_duplicates(table(spark, sf_dir, "documents"), 4, 4)
+    found = near_duplicates(table(spark, sf_dir, "documents"), 4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -204,7 +204,7 @@ def test_linked_fingerprints_meet():
     for i in range(len(near)):
         for b in rng.choice(64, 4, replace=False):
             near[i] ^= np.uint64(1 << int(b))
-    rows, names = simhash.replicas(np.concatenate([fps, near]), 4)
+    rows, names = simhash.replicas(np.concatenate([fps, near])[:, None], simhash.EXACT)
     at = [set() for _ in range(1000)]
     for r, n in zip(rows.tolist(), names.tolist(), strict=True):
         at[r].add(n)
@@ -233,12 +233,38 @@ def test_simhash_equals_brute_force(spark, edge, monkeypatch):
     want = Counter((held[i][0], simhash.signed(fps[i]), least[group[i]]) for i in range(len(held)))
     got = Counter((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(table).collect())
     assert got == want
-    kept = simhash.dedupe(table, 4)
+    kept = simhash.dedupe(table, 4, simhash.EXACT)
     assert kept.columns == table.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(set(least.values()))
     assert simhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_hamming_code_covers():
+    code = simhash.anchors(simhash.WIDE.generator, simhash.WIDE.k)
+    points = np.arange(1 << 15, dtype=np.uint32)
+    assert len(set(code.tolist())) == 2048
+    assert max(np.bitwise_count(points[i : i + 512, None] ^ code[None, :]).min(axis=1).max() for i in range(0, 1 << 15, 512)) == 1
+
+
+def test_dedupe_by_similarity(spark):
+    """Copies of similarity 0.85 and more go, texts of 0.4 and less stay."""
+    rng = random.Random(12)
+    texts, far = [], 0
+    for i in range(60):
+        words = [f"{rng.randrange(10**6)}" for _ in range(400)]
+        texts.append((1000 * i, " ".join(words)))
+        for j in range(1, 4):
+            copy = list(words)
+            for at in rng.sample(range(400), 6):
+                copy[at] = "changed"
+            texts.append((1000 * i + j, " ".join(copy)))
+        texts.append((1000 * i + 500, " ".join(words[:160] + [f"{rng.randrange(10**6)}" for _ in range(240)])))
+    kept = {r.doc_id for r in simhash.dedupe(docs(spark, *texts)).collect()}
+    assert all(1000 * i in kept for i in range(60))
+    assert sum(i % 1000 in (1, 2, 3) for i in kept) <= 6
+    assert sum(i % 1000 == 500 for i in kept) >= 59
+
+
 def test_lines_equal_brute_force(spark, edge):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(500)]
