@@ -377,7 +377,7 @@ def strategy_mask(spark, sf_dir):
     return mask.groupBy("contig", "strand").agg(F.count("*").alias("cells"), F.count_if("accept").alias("accepted"))
 
 
-@query("chunk_coverage", "select cast(l_orderkey as varchar) contig, (rn - 1) // 3 bin, sum(l_quantity) cov_sum from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) rn from lineitem) group by all")
+@query("chunk_coverage", "select cast(l_orderkey as varchar) contig, (rn - 1) // 3 bin, sum(l_quantity) cov_sum from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) rn from lineitem) group by all")
 def chunk_coverage(spark, sf_dir):
     items = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("x"))
     arrays = items.select(F.col("l_orderkey").cast("string").alias("contig"), F.transform("x", lambda r: r["l_quantity"]).alias("cov"))
