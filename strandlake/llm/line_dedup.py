@@ -67,7 +67,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     first = F.min(F.struct(*ORDER)).alias("first")
     each = lines.withColumn("line_id", F.xxhash64("line")).groupBy("line_id").agg(F.count("*").alias("n"), first, F.first("line").alias("line"))
     last = F.greatest(F.length("line") - SIZE, F.lit(0))
-    exploded = each.select("line_id", "n", "first.*", wide(F.col("line")).alias("wide"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    # The line is widened in a step of its own; what stands beside explode is computed for every shingle.
+    widened = each.select("line_id", "n", "first.*", wide(F.col("line")).alias("wide"), last.alias("last"))
+    exploded = widened.select("line_id", "n", *ORDER, "wide", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     hashed = exploded.withColumn("h", F.xxhash64(F.expr(f"substring(wide, 4 * i + 1, {4 * SIZE})")))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(anchors(ROWS * BANDS))]
     # The frequency and first place are alike for all shingles of a line; the rows of a line are in one partition already.
