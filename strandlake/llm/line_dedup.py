@@ -100,14 +100,22 @@ def agreeing(left: str, right: str) -> Column:
     return total
 
 
+def first_shared(left: str, right: str) -> Column:
+    """The first band in which two lines agree."""
+    out = F.lit(None).cast("int")
+    for b in reversed(range(BANDS)):
+        out = F.when(F.col(f"{left}{b}") == F.col(f"{right}{b}"), b).otherwise(out)
+    return out
+
+
 def buckets(found: DataFrame) -> DataFrame:
-    """(key, line_id, lead) of all lines that share a bucket; lead is the bucket's most frequent line."""
+    """(key, band, line_id, lead) of all lines that share a bucket; lead is the bucket's most frequent line."""
     # As many bits of the bands' hashes as keep chance agreements to about one in 4,096 rows.
     bits = min(64, 12 + max(1, math.ceil(math.log2(1 + found.count() * BANDS))))
-    keys = found.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(b), f"b{b}"), 64 - bits) for b in range(BANDS)])).alias("key"), "line_id", "n")
+    keys = found.select(F.posexplode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(b), f"b{b}"), 64 - bits) for b in range(BANDS)])).alias("band", "key"), "line_id", "n")
     bucket = W.partitionBy("key")
-    led = keys.select("key", "line_id", F.first("line_id").over(bucket.orderBy(F.desc("n"), "line_id")).alias("lead"), F.count("*").over(bucket).alias("members"))
-    return led.filter("members > 1").select("key", "line_id", "lead")
+    led = keys.select("key", "band", "line_id", F.first("line_id").over(bucket.orderBy(F.desc("n"), "line_id")).alias("lead"), F.count("*").over(bucket).alias("members"))
+    return led.filter("members > 1").select("key", "band", "line_id", "lead")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -147,10 +155,10 @@ def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY
     leads = groups.select(F.col("node").alias("lead"), F.col("component").alias("main"))
     placed = members.join(own, "line_id", "left").join(leads, "lead", "left").withColumns({"own": F.coalesce("own", "line_id"), "main": F.coalesce("main", "lead")})
     placed = written(placed, "placed")
-    left = placed.filter("own <> main").select("key", F.col("line_id").alias("u"), F.col("own").alias("u_own")).join(sign("u"), "u")
+    left = placed.filter("own <> main").select("key", "band", F.col("line_id").alias("u"), F.col("own").alias("u_own")).join(sign("u"), "u")
     others = placed.filter("line_id <> lead").select("key", F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.expr("own <> main").alias("v_left")).join(sign("v"), "v")
-    # A pair of two lines left over is taken once.
-    fresh = (left["key"] == others["key"]) & (F.col("u_own") != F.col("v_own")) & (~F.col("v_left") | (F.col("u") < F.col("v"))) & near
+    # A pair of two lines left over is taken once, and any pair only in the first band that it shares.
+    fresh = (left["key"] == others["key"]) & (F.col("u_own") != F.col("v_own")) & (~F.col("v_left") | (F.col("u") < F.col("v"))) & (F.col("band") == first_shared("u", "v")) & near
     more = written(left.join(others, fresh).select("u", "v").distinct(), "more")
     extra = written(verified(more, texts, similarity), "links")
     return components(links.unionByName(extra)) if not extra.isEmpty() else groups
