@@ -8,6 +8,7 @@ pointer doubling, in as many joins as the length's logarithm. All state is in Da
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
@@ -21,15 +22,20 @@ def opposite(end: str | Column) -> Column:
 
 
 def end_links(links: DataFrame) -> DataFrame:
-    """(a, a_end, b, b_end, hang): both directions of each link; hang is what of b lies beyond a.
+    """(a, a_end, b, b_end, hang, shift): both directions of each link. Going out of a by a_end into b by b_end, hang is what of b
+    lies beyond a, and shift what of a lies before b.
 
     ``links(qname, qside, tname, tside, qlen, qstart, qend, tlen, tstart, tend)``.
     """
-    q_to_t = F.when(F.col("tside") == "L", F.col("tlen") - F.col("tend")).otherwise(F.col("tstart"))
-    t_to_q = F.when(F.col("qside") == "L", F.col("qlen") - F.col("qend")).otherwise(F.col("qstart"))
-    one = links.select(F.col("qname").alias("a"), F.col("qside").alias("a_end"), F.col("tname").alias("b"), F.col("tside").alias("b_end"), q_to_t.alias("hang"))
-    two = links.select(F.col("tname").alias("a"), F.col("tside").alias("a_end"), F.col("qname").alias("b"), F.col("qside").alias("b_end"), t_to_q.alias("hang"))
-    return one.unionByName(two).groupBy("a", "a_end", "b", "b_end").agg(F.min("hang").alias("hang"))
+
+    def directed(a: str, b: str) -> DataFrame:
+        col = lambda x, what: F.col(f"{x}{what}")
+        hang = F.when(col(b, "side") == "L", col(b, "len") - col(b, "end")).otherwise(col(b, "start"))
+        a_start = F.when(col(a, "side") == "R", col(a, "start")).otherwise(col(a, "len") - col(a, "end"))
+        b_start = F.when(col(b, "side") == "L", col(b, "start")).otherwise(col(b, "len") - col(b, "end"))
+        return links.select(col(a, "name").alias("a"), col(a, "side").alias("a_end"), col(b, "name").alias("b"), col(b, "side").alias("b_end"), hang.alias("hang"), (a_start - b_start).alias("shift"))
+
+    return directed("q", "t").unionByName(directed("t", "q")).groupBy("a", "a_end", "b", "b_end").agg(F.min("hang").alias("hang"), F.min_by("shift", "hang").alias("shift"))
 
 
 def reduced(ends: DataFrame, fuzz: int = FUZZ) -> DataFrame:
@@ -46,7 +52,7 @@ def joints(ends: DataFrame) -> DataFrame:
     """Links between two ends that have no other link."""
     single = ends.groupBy("a", "a_end").agg(F.count("*").alias("n")).filter("n = 1").select("a", "a_end")
     out = ends.join(single, ["a", "a_end"], "left_semi")
-    return out.join(single.select(F.col("a").alias("b"), F.col("a_end").alias("b_end")), ["b", "b_end"], "left_semi").filter("a <> b").select("a", "a_end", "b", "b_end", "hang")
+    return out.join(single.select(F.col("a").alias("b"), F.col("a_end").alias("b_end")), ["b", "b_end"], "left_semi").filter("a <> b").select("a", "a_end", "b", "b_end", "shift")
 
 
 def layout(links: DataFrame, lengths: DataFrame, fuzz: int = FUZZ) -> DataFrame:
@@ -58,7 +64,7 @@ def layout(links: DataFrame, lengths: DataFrame, fuzz: int = FUZZ) -> DataFrame:
     # A visit enters a read at one end and leaves by the other; steps go from visit to visit.
     reads = joined.select(F.col("a").alias("name")).distinct()
     visits = reads.select("name", F.explode(F.array(F.lit("L"), F.lit("R"))).alias("enter"))
-    out = joined.select(F.col("a").alias("name"), opposite("a_end").alias("enter"), F.col("b").alias("to"), F.col("b_end").alias("to_enter"), "hang")
+    out = joined.select(F.col("a").alias("name"), opposite("a_end").alias("enter"), F.col("b").alias("to"), F.col("b_end").alias("to_enter"), "shift")
     steps = materialize(visits.join(out, ["name", "enter"], "left"), "steps")
     jump = steps.select("name", "enter", F.coalesce("to", "name").alias("far"), F.coalesce("to_enter", "enter").alias("far_enter"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.coalesce("to", "name").alias("low"))
     jump = jump.withColumn("low", F.least("low", "name"))
@@ -77,11 +83,9 @@ def layout(links: DataFrame, lengths: DataFrame, fuzz: int = FUZZ) -> DataFrame:
     straight = placed.filter("__stop").join(lines, ["far", "far_enter"]).select("unitig", F.lit(False).alias("circ"), (F.col("last") - F.col("dist")).alias("idx"), "name", "enter")
     rings = _rings(placed.filter("__stop is null").select("name", "enter", "low"), steps)
     ordered = straight.unionByName(rings)
-    sized = ordered.join(steps.select("name", "enter", "to", "hang"), ["name", "enter"]).join(lengths.withColumnRenamed("header", "name"), "name").join(lengths.select(F.col("header").alias("to"), F.col("length").alias("to_length")), "to", "left")
-    # A read gives what lies before the next one begins: its length, less the next one's part of the overlap.
-    given = F.greatest(F.col("length") - (F.col("to_length") - F.col("hang")), F.lit(0))
-    from pyspark.sql import Window as W
-
+    sized = ordered.join(steps.select("name", "enter", "shift"), ["name", "enter"]).join(lengths.select(F.col("header").alias("name"), "length"), "name", "left_semi")
+    # A read gives what lies before the next one begins.
+    given = F.greatest(F.col("shift"), F.lit(0))
     w = W.partitionBy("unitig").orderBy("idx")
     last = F.col("idx") == F.max("idx").over(W.partitionBy("unitig"))
     n = sized.withColumn("n", F.when(last, F.lit(-1).cast("long")).otherwise(given))

@@ -609,3 +609,183 @@ def read_batches(spark, sf_dir):
 
     numbered = number_rows(fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line")), "line", name="rn")
     return numbered.select("line", F.floor((F.col("rn") - 1) / 400).alias("batch_id"))
+
+
+# Texts of the formats, written and read.
+PAF_LINE_SQL = "concat_ws(chr(9), qname, qlen, qstart, qend, strand, tname, tlen, tstart, tend, '0', block_len, mapq, concat('tp:A:', case when is_primary = 1 then 'P' else 'S' end), concat('s1:i:', s1))"
+
+
+def _paf_lines(spark, sf_dir):
+    from ..sources import paf
+
+    return paf.lines_of(fx.paf(spark, sf_dir))
+
+
+@query("paf_lines", "with " + fx.PAF_SQL + f" select distinct {PAF_LINE_SQL} as value from paf")
+def paf_lines(spark, sf_dir):
+    return _paf_lines(spark, sf_dir).distinct()
+
+
+@query("paf_parse", "with " + fx.PAF_SQL + " select qname, qlen, qstart, qend, rev, tname, tlen, tstart, tend, block_len, mapq, s1, is_primary, count(*) n from paf group by all")
+def paf_parse(spark, sf_dir):
+    from ..sources import paf
+
+    columns = ["qname", "qlen", "qstart", "qend", "rev", "tname", "tlen", "tstart", "tend", "block_len", "mapq", "s1", "is_primary"]
+    return paf.parse(_paf_lines(spark, sf_dir)).groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+@query("paf_mapping_mode", "with " + fx.PAF_SQL + " select qname, count(*) hits from paf where block_len >= 5000 and is_primary = 1 group by qname")
+def paf_mapping_mode(spark, sf_dir):
+    from ..sources import paf
+
+    return paf.mappings(paf.parse(_paf_lines(spark, sf_dir)), 5000).groupBy("qname").agg(F.count("*").alias("hits"))
+
+
+@query("fasta_lines", "with " + READS + " select concat('>', read_id, chr(10), seq) as value from reads")
+def fasta_lines(spark, sf_dir):
+    from ..sources import fastq
+
+    return fastq.fasta_lines(fx.reads(spark, sf_dir), "read_id")
+
+
+def _described(spark, sf_dir):
+    number = F.col("read_id").cast("long")
+    name = F.concat("read_id", F.when(number % 10 == 0, "").otherwise(F.concat(F.lit(" ch="), (number % 512 + 1).cast("string"))), F.lit(" src"))
+    return fx.reads(spark, sf_dir).withColumn("description", name)
+
+
+@query("channel_filter", "with " + READS + ", d as (select read_id, case when cast(read_id as bigint) % 10 = 0 then null else cast(read_id as bigint) % 512 + 1 end channel from reads) select read_id, cast(channel as int) channel from d where channel between 1 and 100")
+def channel_filter(spark, sf_dir):
+    from ..sources import fastq
+
+    return fastq.on_channels(_described(spark, sf_dir), spark.range(1, 101).select(F.col("id").cast("int").alias("channel"))).select("read_id", "channel")
+
+
+@query("read_batch_summary", "with " + READS + " select count(*) reads, cast(sum(length(seq)) as bigint) bases from reads")
+def read_batch_summary(spark, sf_dir):
+    from ..sources import fastq
+
+    return fastq.batch_summary(fx.reads(spark, sf_dir))
+
+
+@query("last_of_each_read", "select concat('r', doc_id % 97) read_id, max(doc_id) record from documents group by 1")
+def last_of_each_read(spark, sf_dir):
+    from ..sources import fastq
+
+    rows = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("r"), F.col("doc_id") % 97).alias("read_id"), F.lit("f").alias("file"), F.col("doc_id").alias("record"))
+    return fastq.last_of_each(rows).select("read_id", "record")
+
+
+@query("shuffled_batches")
+def shuffled_batches(spark, sf_dir):
+    from ..sources import fastq
+
+    rows = fx.table(spark, sf_dir, "documents").select(F.lit("f").alias("file"), F.col("doc_id").alias("record"))
+    return fastq.batches(rows, 400, most=10, seed=7)
+
+
+@query("sampled_reads")
+def sampled_reads(spark, sf_dir):
+    from ..sources import fastq
+
+    return fastq.sample_with_replacement(fx.reads(spark, sf_dir).select("read_id"), 0.5, 7)
+
+
+@query("pair_keys", CLASS_SQL + "select line_no, concat(least(qname, tname), '-', greatest(qname, tname)) pair from filtered")
+def pair_keys(spark, sf_dir):
+    return filtered(spark, sf_dir).select("line_no", al.pair_key().alias("pair"))
+
+
+@query("stable_ids", "select l_suppkey suppkey, substr(sha256(string_agg(distinct cast(l_partkey as varchar), ',' order by cast(l_partkey as varchar))), 1, 20) id from lineitem group by 1")
+def stable_ids(spark, sf_dir):
+    from ..operators import unitigs as un
+
+    parts = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").cast("string").alias("p")).distinct()
+    return parts.groupBy("suppkey").agg(un.stable_id(F.collect_list("p")).alias("id"))
+
+
+@query(
+    "merged_layout",
+    "with parts as (select l_orderkey unitig, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity) - 1 idx, count(*) over (partition by l_orderkey) k, l_quantity v from lineitem), "
+    "cells as (select unitig, idx, u.j j, case when idx % 2 = 1 then v - u.j else v + u.j end x from parts, range(4) u(j) where idx = k - 1 or u.j < 2) select unitig, cast(string_agg(cast(case when idx % 2 = 1 then v_rev else x end as varchar), ',' order by idx, j) as varchar) cov from (select *, x + 3.0 v_rev from cells) group by unitig",
+)
+def merged_layout(spark, sf_dir):
+    """Atoms of four values; each gives two, the last one all, every second one turned round."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    atoms = fx.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("unitig"), (F.row_number().over(w) - 1).alias("idx"), F.count("*").over(W.partitionBy("l_orderkey")).alias("k"), F.col("l_quantity").alias("v")
+    ).withColumn("name", F.concat_ws("-", "unitig", "idx"))
+    layout = atoms.select("unitig", (F.col("k") * 2 + 2).alias("length"), F.lit(False).alias("circ"), "idx", (F.col("idx") * 2).cast("long").alias("pos"), (F.col("idx") % 2).cast("int").alias("rev"), "name", F.when(F.col("idx") == F.col("k") - 1, -1).otherwise(2).cast("long").alias("n"))
+    sequences = atoms.select(F.col("name").alias("header"), F.array(*[F.col("v") + i for i in range(4)]).alias("cov"))
+    return co.merge_layout(layout, sequences).select("unitig", F.array_join(F.col("cov").cast("array<string>"), ",").alias("cov"))
+
+
+# Overlaps and unitigs: no SQL says what a heuristic aligner finds.
+
+
+def _dna(spark, sf_dir):
+    return fx.reads(spark, sf_dir).filter("length > 2500").select(F.col("read_id").alias("id"), "seq")
+
+
+@query("overlaps_all_against_all")
+def overlaps_all_against_all(spark, sf_dir):
+    from ..operators import overlap as ov
+
+    return ov.all_against_all(_dna(spark, sf_dir))
+
+
+@query("overlaps_incremental")
+def overlaps_incremental(spark, sf_dir):
+    from ..operators import overlap as ov
+
+    reads = _dna(spark, sf_dir)
+    return ov.incremental(reads.filter("id % 2 = 0"), reads.filter("id % 2 = 1"))
+
+
+@query("read_mapping")
+def read_mapping(spark, sf_dir):
+    from ..operators import overlap as ov
+
+    reads = _dna(spark, sf_dir)
+    return ov.map_reads(reads.filter("id % 2 = 0").select("id", F.substring("seq", 1, 400).alias("seq")), reads.filter("id % 2 = 1"))
+
+
+def _chain(spark, sf_dir):
+    """Windows of 6,000 bases, 3,000 apart, of one synthetic genome made of part names' hashes."""
+    genome = fx.table(spark, sf_dir, "part").filter("p_partkey <= 400").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.translate(F.sha2(k.cast("string"), 512), "0123456789abcdef", "ACGTACGTACGTACGT")), "").alias("g"))
+    starts = F.explode(F.sequence(F.lit(0), F.floor((F.length("g") - 6000) / 3000).cast("int")))
+    return genome.select("g", starts.alias("i")).select(F.format_string("r%04d", "i").alias("header"), F.expr("substring(g, i * 3000 + 1, 6000)").alias("seq"))
+
+
+def _chain_layout(spark, sf_dir):
+    from ..operators import overlap as ov
+    from ..operators import unitigs as un
+
+    reads = _chain(spark, sf_dir)
+    records = ov.all_against_all(reads.withColumnRenamed("header", "id")).withColumn("line_no", F.monotonically_increasing_id())
+    linked = li.links(al.with_class(records.filter(al.passes())))
+    return reads, un.layout(linked.filter("u < v"), reads.select("header", F.length("seq").cast("long").alias("length")))
+
+
+@query("unitig_layout")
+def unitig_layout(spark, sf_dir):
+    return _chain_layout(spark, sf_dir)[1]
+
+
+@query("unitig_sequences")
+def unitig_sequences(spark, sf_dir):
+    from ..operators import unitigs as un
+
+    reads, placed = _chain_layout(spark, sf_dir)
+    return un.assembled(placed, reads)
+
+
+@query("batch_update")
+def batch_update(spark, sf_dir):
+    """One whole batch over the synthetic genome's reads: the mask."""
+    from . import update as up
+
+    reads = _chain(spark, sf_dir).withColumnRenamed("header", "read_id")
+    return up.update(up.empty(spark), reads, up.Settings(tetra=False)).mask

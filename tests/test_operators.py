@@ -175,6 +175,4 @@ def test_unitig_of_three_reads(spark):
     placed = un.layout(linked.filter("u < v"), frame.select("header", F.length("seq").cast("long").alias("length")))
     whole = un.assembled(placed, frame).collect()
     assert len(whole) == 1
-    got = whole[0].seq
-    assert abs(len(got) - 20_000) < 300
-    assert genome[:4000] in (got[:4000], turn(got)[:4000])
+    assert whole[0].seq in (genome, turn(genome))
