@@ -88,6 +88,6 @@ def channels_of(toml: str | dict, name: str) -> set[int]:
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="strandlake")
     out.add_argument("--toml", required=True)
-    out.add_argument("--toml_readfish", default=None)
+    out.add_argument("--decisions", default=None)
     out.add_argument("--work", default="file:///tmp/strandlake")
     return out

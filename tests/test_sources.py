@@ -101,3 +101,12 @@ def test_config(tmp_path):
     with pytest.raises(ValueError):
         config.load({"live": {"device": "D"}, "general": {"name": "other"}}, regions)
     assert config.channels_of({"conditions": {"1": {"name": "run", "channels": [1, 2]}}}, "run") == {1, 2}
+
+
+def test_command_line_settings(tmp_path):
+    from strandlake.__main__ import settings_of
+
+    (tmp_path / "sim.toml").write_text('[simulation]\nfq = "x.fq"\n[filters]\nmin_seq_len = 100\n[const]\nlowcov = 1\n')
+    args = config.parser().parse_args(["--toml", str(tmp_path / "sim.toml")])
+    got = settings_of(config.load(args.toml, args.decisions))
+    assert (got.min_seq_len, got.lowcov, got.temperature) == (100, 1, 60)
