@@ -22,6 +22,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if key not in _KEPT:
         path = storage.fresh_path(spark, name)
         build().write.parquet(path)
+        storage.drop_at_exit(spark, path)
         _KEPT[key] = path
     return spark.read.parquet(_KEPT[key])
 
