@@ -41,9 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's file system layer, whatever store it is in."""
     jvm = spark.sparkContext._jvm

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, fresh_path
+from .common import delete, drop_at_exit, fresh_path
 
 
 def _state(df: DataFrame) -> tuple:
@@ -36,6 +36,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         small.filter("u <> v").distinct().write.parquet(path)
+        drop_at_exit(spark, path)
         now = spark.read.schema(pairs.schema).parquet(path)
         if old:
             delete(spark, old)
