@@ -10,7 +10,8 @@ of their sets of ``SIZE``-character shingles is ``SIMILARITY`` or more; groups a
    probability 0.991, at 0.9 with 0.9999.
 3. Each line of a bucket is compared exactly with the bucket's most frequent line. Lines that are then in another
    component than that one are compared with all of the bucket outside their own component, so no link within a bucket is
-   lost. Before an exact comparison enough of the two signatures must agree; pairs that don't are never made.
+   lost. Before an exact comparison enough of the two signatures must agree; pairs that don't are never made. In large buckets
+   the exact comparison is part of the join, so that near copies by the thousand don't make rows by the million.
 4. Components are found by star contraction, and the lines that stay are joined back to their texts.
 
 Edge cases: a null text stays null; an empty text and blank lines stay as they are; lines shorter than a shingle are compared as
@@ -39,6 +40,8 @@ STEP = 4
 #: Of the minima of two lines so many must agree before the lines are compared exactly: 23 of 36. At similarity 0.8 the
 #: number is 29 on average, and lower than 23 with probability 0.005.
 AGREE = 23
+#: Buckets with more lines than this are large.
+LARGE = 32
 #: Most ids that are broadcast; more are joined by shuffling.
 BROADCAST = 300_000
 
@@ -109,13 +112,13 @@ def first_shared(left: str, right: str) -> Column:
 
 
 def buckets(found: DataFrame) -> DataFrame:
-    """(key, band, line_id, lead) of all lines that share a bucket; lead is the bucket's most frequent line."""
+    """(key, band, line_id, lead, members) of all lines that share a bucket; lead is the bucket's most frequent line."""
     # As many bits of the bands' hashes as keep chance agreements to about one in 4,096 rows.
     bits = min(64, 12 + max(1, math.ceil(math.log2(1 + found.count() * BANDS))))
     keys = found.select(F.posexplode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(b), f"b{b}"), 64 - bits) for b in range(BANDS)])).alias("band", "key"), "line_id", "n")
     bucket = W.partitionBy("key")
     led = keys.select("key", "band", "line_id", F.first("line_id").over(bucket.orderBy(F.desc("n"), "line_id")).alias("lead"), F.count("*").over(bucket).alias("members"))
-    return led.filter("members > 1").select("key", "band", "line_id", "lead")
+    return led.filter("members > 1").select("key", "band", "line_id", "lead", "members")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -155,12 +158,29 @@ def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY
     leads = groups.select(F.col("node").alias("lead"), F.col("component").alias("main"))
     placed = members.join(own, "line_id", "left").join(leads, "lead", "left").withColumns({"own": F.coalesce("own", "line_id"), "main": F.coalesce("main", "lead")})
     placed = written(placed, "placed")
-    left = placed.filter("own <> main").select("key", "band", F.col("line_id").alias("u"), F.col("own").alias("u_own")).join(sign("u"), "u")
-    others = placed.filter("line_id <> lead").select("key", F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.expr("own <> main").alias("v_left")).join(sign("v"), "v")
     # A pair of two lines left over is taken once, and any pair only in the first band that it shares.
-    fresh = (left["key"] == others["key"]) & (F.col("u_own") != F.col("v_own")) & (~F.col("v_left") | (F.col("u") < F.col("v"))) & (F.col("band") == first_shared("u", "v")) & near
-    more = written(left.join(others, fresh).select("u", "v").distinct(), "more")
-    extra = written(verified(more, texts, similarity), "links")
+    once = (F.col("u_own") != F.col("v_own")) & (~F.col("v_left") | (F.col("u") < F.col("v"))) & (F.col("band") == first_shared("u", "v")) & near
+
+    def sides(rows: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Lines left over, and all that they are to be compared with, with what ``held(line_id, ...)`` says of each."""
+        left = rows.filter("own <> main").select("key", "band", F.col("line_id").alias("u"), F.col("own").alias("u_own")).join(sign("u"), "u")
+        others = rows.filter("line_id <> lead").select("key", F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.expr("own <> main").alias("v_left")).join(sign("v"), "v")
+        others = others.join(left.select("key").distinct(), "key", "left_semi")
+        if held is not None:
+            for name in ("u", "v"):
+                side = held.select(F.col("line_id").alias(name), F.col("set").alias(f"{name}_set"))
+                left, others = (left.join(side, "u"), others) if name == "u" else (left, others.join(side, "v"))
+        return left, others
+
+    left, others = sides(placed.filter(F.col("members") <= LARGE))
+    more = written(left.join(others, (left["key"] == others["key"]) & once).select("u", "v"), "more")
+    # In a large bucket many pairs are nearly alike, so there the sets themselves are in the join's condition, and only what links comes out.
+    big = written(placed.filter(F.col("members") > LARGE), "large")
+    sets = texts.join(big.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.transform(shingles("line"), lambda h: F.shiftright(h, 32).cast("int")).alias("set"))
+    left, others = sides(big, written(sets, "sets"))
+    alike = (1 + similarity) * F.size(F.array_intersect("u_set", "v_set")) >= similarity * (F.size("u_set") + F.size("v_set"))
+    found_large = written(left.join(others, (left["key"] == others["key"]) & once & alike).select("u", "v"), "more")
+    extra = written(verified(more.unionByName(found_large), texts, similarity), "links")
     return components(links.unionByName(extra)) if not extra.isEmpty() else groups
 
 

@@ -265,7 +265,9 @@ def test_dedupe_by_similarity(spark):
     assert sum(i % 1000 == 500 for i in kept) >= 59
 
 
-def test_lines_equal_brute_force(spark, edge):
+@pytest.mark.parametrize("large", [2, 32])
+def test_lines_equal_brute_force(spark, edge, monkeypatch, large):
+    monkeypatch.setattr(line_dedup, "LARGE", large)
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(500)]
     lines = [" ".join(rng.choices(words, k=rng.randrange(1, 25))) for _ in range(60)]
