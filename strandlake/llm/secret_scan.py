@@ -77,10 +77,11 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Offsets are in characters (code points), the end exclusive. A match's start is the running
     sum of what came before it in its blob, so a text with very many matches costs no more than their number.
+    Rows that repeat a blob give equal pieces, which count once, or the sum would take each of them.
     """
     least = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.least)])
     parts = F.flatten(F.array(*[F.when(F.array_contains("todo", r.kind), _pieces(F.col("text"), r)).otherwise(F.array().cast("array<struct<kind:string,version:int,gap:int,long:int,counted:int>>")) for r in rules]))
-    rows = blobs.select("blob", F.posexplode(parts).alias("i", "m")).select("blob", "i", "m.*")
+    rows = blobs.select("blob", F.posexplode(parts).alias("i", "m")).select("blob", "i", "m.*").distinct()
     run = W.partitionBy("blob", "kind").orderBy("i")
     ends = rows.filter(F.col("long").isNotNull()).withColumn("end", F.sum(F.col("gap") + F.col("long")).over(run).cast("int"))
     return ends.filter(F.col("counted") >= least[F.col("kind")]).select("blob", "kind", "version", (F.col("end") - F.col("long")).alias("start"), "end")

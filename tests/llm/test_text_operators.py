@@ -108,6 +108,15 @@ def test_redaction(spark):
     assert got[0].n_chars == len(got[0].text) and got[0].blob == "x"
 
 
+def test_secrets_in_repeated_rows(spark):
+    """Rows with equal id and text, or no id and equal text, are one blob: spans are those of one copy."""
+    table = docs(spark, (0, SECRETS[0]), (0, SECRETS[0]), (-1, SECRETS[2]), (-1, SECRETS[2]), (-1, SECRETS[2])).repartition(3)
+    got = secret_scan.report(table.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), fresh_path(spark, "ledger")).collect()
+    assert Counter((r.path, tuple(map(tuple, r.spans))) for r in got) == {(0, tuple(base_spans(SECRETS[0]))): 2, (None, tuple(base_spans(SECRETS[2]))): 3}
+    cut = [r.text for r in secret_scan.redact(table, fresh_path(spark, "ledger")).collect() if r.doc_id == 0]
+    assert cut == ["𝛼 [REDACTED]' [REDACTED] and [REDACTED]"] * 2
+
+
 def test_secrets_of_nothing(spark):
     assert secret_scan.report(spark.createDataFrame([], "path long, content string"), fresh_path(spark, "ledger")).count() == 0
 
