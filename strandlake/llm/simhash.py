@@ -7,9 +7,14 @@ the anchor next to the one is then within reach of the other, so the pair meets
 
 * ``EXACT``: 64 bits in three blocks, the binary Golay code (23 bits, radius 3, 4,096 anchors; shorter blocks have zeros above),
   threshold 1. A pair that differs in 4 bits differs in one bit at most of some block, so every link is found.
-* ``WIDE``: for a given similarity of shingle sets rather than a number of bits. 192 bits in twelve blocks of 15, the Hamming code
-  (15 bits, radius 1, 2,048 anchors), threshold 1, links at 36 bits. At Jaccard similarity 0.8 two fingerprints differ in 29 bits of 192
-  on average; a pair is linked with probability 0.92 there, 0.99 at 0.85, 0.01 at 0.5.
+* ``WIDE``: for a given similarity of shingle sets rather than a number of bits. 192 bits of the set (repeats of a shingle count
+  once) in twelve blocks of 15, the Hamming code (15 bits, radius 1, 2,048 anchors), threshold 1. At Jaccard similarity 0.8 two
+  fingerprints differ in 29 bits of 192 on average (36 for sets of four and five); pairs at 56 bits or fewer are candidates only, and
+  an edge is one whose sets are compared and found at 0.8 or more.
+
+Candidates are compared in two steps. At each anchor the edges of a spanning forest of the candidates come first; what these
+connect needs no other comparison, so a large group of copies costs about as many as it has members. Only the anchors where a
+forest edge fails are gone through again, for all their candidates between groups that are still apart.
 
 Fingerprints are compared once for all documents that share them. At an anchor they are compared
 by exclusive or and bit count, in blocks; out go only edges of a spanning forest, never all pairs. A large
@@ -22,8 +27,9 @@ stay; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import cache
 
 import numpy as np
@@ -43,7 +49,10 @@ PART = 2048
 
 @dataclass(frozen=True)
 class Scheme:
-    """``blocks``: (word, lowest bit, bits) of a fingerprint of ``words`` 64-bit words; ``generator`` makes a code of dimension ``k``."""
+    """``blocks``: (word, lowest bit, bits) of a fingerprint of ``words`` 64-bit words; ``generator`` makes a code of dimension ``k``.
+
+    With a ``similarity``, ``distance`` gives candidates, and links are those of at least that Jaccard similarity.
+    """
 
     words: int
     blocks: tuple[tuple[int, int, int], ...]
@@ -52,10 +61,11 @@ class Scheme:
     radius: int
     threshold: int
     distance: int
+    similarity: Fraction | None = None
 
 
 EXACT = Scheme(1, ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 0b101011100011, 12, 3, 1, 4)
-WIDE = Scheme(3, tuple((w, 16 * i, 15) for w in range(3) for i in range(4)), 0b10011, 11, 1, 1, 36)
+WIDE = Scheme(3, tuple((w, 16 * i, 15) for w in range(3) for i in range(4)), 0b10011, 11, 1, 1, 56, Fraction(4, 5))
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -67,7 +77,10 @@ def shingles(text: str, size: int) -> list[bytes]:
 
 def fingerprint(text: str, size: int = 4, words: int = 1) -> list[int]:
     """SimHash of the shingles of ``size`` words: a bit is 1 if it is in more than half of their XXH64 values; one seed to a word."""
-    parts = shingles(text, size)
+    return majority(shingles(text, size), words)
+
+
+def majority(parts: list[bytes], words: int) -> list[int]:
     if not parts:
         return [0] * words
     digest, out = xxhash.xxh64_intdigest, []
@@ -98,6 +111,42 @@ def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", words: int
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long, words binary")
 
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The sorted XXH64 values of the text's different shingles."""
+    return np.array(sorted({xxhash.xxh64_intdigest(p, SEED) for p in shingles(text, size)}), dtype="<u8")
+
+
+def set_name(hashes: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes()))
+
+
+def set_fingerprints(docs: DataFrame, size: int, key: str, words: int) -> DataFrame:
+    """(key, fp, words) of every text: ``fp`` names its set of shingles, ``words`` is the fingerprint of the set."""
+    require(docs, key, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            names, found = [], []
+            for t in texts:
+                parts = {xxhash.xxh64_intdigest(p, SEED): p for p in shingles(t, size)}
+                names.append(set_name(np.array(sorted(parts), dtype="<u8")))
+                found.append(np.array(majority(list(parts.values()), words), dtype="<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(names, pa.int64()), pa.array(found, pa.binary())], [key, "fp", "words"])
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long, words binary")
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(fp, shingles) of ``texts(fp, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in slices(batches, "text"):
+            sets = [shingle_set(t, size).view("<i8") for t in found]
+            yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+
+
 @cache
 def anchors(generator: int = EXACT.generator, k: int = EXACT.k) -> np.ndarray:
     """The code words of a cyclic code: multiples of its generator polynomial, in all ways."""
@@ -160,8 +209,21 @@ def forest(left: np.ndarray, right: np.ndarray, distance: int, rows: int = 512)
     return us, vs
 
 
-def links(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """(u, v): fingerprints of ``fps(fp, words)`` (distinct) that link, enough of them to connect what all links that are found connect."""
+def candidates(left: np.ndarray, right: np.ndarray, distance: int, left_groups: np.ndarray, right_groups: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (positions in left, in right) within the distance whose groups differ; equal arrays: within one."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(left), rows):
+        near = differing(left[low : low + rows], right) <= distance
+        a, b = np.nonzero(near & (left_groups[low : low + rows, None] != right_groups[None, :]))
+        a = a + low
+        keep = a < b if left is right else np.ones(len(a), bool)
+        us.append(a[keep])
+        vs.append(b[keep])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def place(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """(anchor, a, b, part, fp, words): ``fps(fp, words)`` (distinct) at their anchors, each anchor as pairs (a, b) of its parts."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,25 +240,76 @@ def links(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = placed.join(F.broadcast(sizes), "anchor").withColumn("part", part)
     other = F.explode(F.expr("sequence(0, parts - 1)"))
-    dealt = dealt.withColumn("other", other).select("anchor", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "words")
+    return dealt.withColumn("other", other).select("anchor", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "words")
+
+
+CELL = ["anchor", "a", "b"]
+
+
+def compared(dealt: DataFrame, scheme: Scheme, find: Callable) -> DataFrame:
+    """(anchor, a, b, u, v): the pairs that ``find(left, right, left_groups, right_groups)`` gives in each cell of ``dealt``, with or without a group."""
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
+        # In order of fp, so that cells with the same members give the same pairs.
+        group = group.sort_by("fp")
         fp, part, bits = group.column("fp").to_numpy(), group.column("part").to_numpy(), matrix(group.column("words"), scheme.words)
+        groups = group.column("group").to_numpy() if "group" in group.column_names else fp
         if key[1].as_py() == key[2].as_py():
             left = right = np.arange(len(fp))
-            us, vs = forest(bits, bits, scheme.distance)
+            us, vs = find(bits, bits, groups, groups)
         else:
             left, right = np.nonzero(part == key[1].as_py())[0], np.nonzero(part != key[1].as_py())[0]
-            us, vs = forest(bits[left], bits[right], scheme.distance)
-        return pa.table({"u": pa.array(fp[left[us]], pa.int64()), "v": pa.array(fp[right[vs]], pa.int64())})
+            us, vs = find(bits[left], bits[right], groups[left], groups[right])
+        u, v = fp[left[us]], fp[right[vs]]
+        cell = [pa.array(np.full(len(u), k.as_py()), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        return pa.table([*cell, pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=[*CELL, "u", "v"])
 
-    return dealt.groupBy("anchor", "a", "b").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy(*CELL).applyInArrow(compare, "anchor long, a int, b int, u long, v long")
 
 
-def grouped(prints: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """(fp, component) of each fingerprint in the written table ``prints(fp, words)``; component is the group's least fp."""
+def links(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """(u, v): fingerprints of ``fps(fp, words)`` (distinct) that link, enough of them to connect what all links that are found connect."""
+    return compared(place(fps, scheme), scheme, lambda x, y, *_: forest(x, y, scheme.distance)).select("u", "v")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (u, v) whose sets in ``sets(fp, shingles)`` have at least this Jaccard similarity."""
+    one, two = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}s")) for c in "uv")
+    shared = F.size(F.array_intersect("us", "vs"))
+    sized = pairs.join(one, "u").join(two, "v").select("u", "v", shared.alias("both"), (F.size("us") + F.size("vs")).alias("all"))
+    return sized.filter(F.col("both") * similarity.denominator >= (F.col("all") - F.col("both")) * similarity.numerator).select("u", "v")
+
+
+def similar(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, scheme: Scheme) -> DataFrame:
+    """(u, v): classes of ``classes(fp, words)`` whose sets are similar, enough of them to connect what all such candidates connect.
+
+    ``texts`` gives (fp, text) of the classes it is given by ``fp``.
+    """
+    pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    dealt = place(classes, scheme)
+    first = written(compared(dealt, scheme, lambda x, y, *_: forest(x, y, scheme.distance)), "forest")
+    # Whatever is a candidate at an anchor is in its forest, so no other sets are needed later.
+    named = first.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    sets = written(shingle_sets(texts(named), size), "sets")
+    edges = written(alike(first.select(*pair).distinct(), sets, scheme.similarity), "edges")
+    groups = written(components(edges).select(F.col("node").alias("fp"), F.col("component").alias("group")), "groups")
+    ends = [groups.select(F.col("fp").alias(c), F.col("group").alias(f"{c}g")) for c in "uv"]
+    apart = first.join(ends[0], "u", "left").join(ends[1], "v", "left").filter(F.coalesce("ug", "u") != F.coalesce("vg", "v"))
+    apart = written(apart.select(*CELL).distinct(), "apart")
+    again = dealt.join(apart, CELL, "left_semi").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    rest = compared(again, scheme, lambda x, y, p, q: candidates(x, y, scheme.distance, p, q)).select(*pair).distinct()
+    # Forest edges that failed are not compared again.
+    rest = written(rest.join(first.select(*pair).distinct(), ["u", "v"], "left_anti"), "rest")
+    return edges.unionByName(alike(rest, sets, scheme.similarity))
+
+
+def grouped(prints: DataFrame, scheme: Scheme = EXACT, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fp, component) of each fingerprint in the written table ``prints(fp, words)``; component is the group's least fp.
+
+    ``linked`` gives the links of the distinct fingerprints; without it, those within the scheme's distance are.
+    """
     classes = written(prints.groupBy("fp", "words").agg(F.count("*").alias("n")), "classes")
-    found = components(written(links(classes, scheme), "links"))
+    found = components(written(linked(classes) if linked else links(classes, scheme), "links"))
     return classes.select("fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
@@ -212,15 +325,23 @@ def near_duplicates(docs: DataFrame, size: int = 4, scheme: Scheme = EXACT) -> D
 def dedupe(docs: DataFrame, size: int = 5, scheme: Scheme = WIDE) -> DataFrame:
     """``docs`` with one row of each group, that with the least doc_id (null only where all are); columns stay.
 
-    Rows are known by a hash of id and text, so of repeated rows one stays.
+    Rows are known by a hash of id and text, so of repeated rows one stays. If the scheme has a similarity, equal sets of shingles
+    are one class, and classes are linked by the exact similarity of their sets.
     """
     require(docs, "doc_id", "text")
     row = F.xxhash64("doc_id", "text")
     named = docs.select(F.struct("doc_id", row.alias("at")).alias("row"), "text")
-    prints = written(fingerprints(named, size, "row", scheme.words).select("row.*", "fp", "words"), "fingerprints")
+    made = set_fingerprints if scheme.similarity else fingerprints
+    prints = written(made(named, size, "row", scheme.words).select("row.*", "fp", "words"), "fingerprints")
+
+    def texts(fps: DataFrame) -> DataFrame:
+        one = prints.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("at").alias("at"))
+        return docs.select(row.alias("at"), "text").join(one.hint("shuffle_hash"), "at").dropDuplicates(["at"]).select("fp", "text")
+
+    linked = (lambda classes: similar(classes, texts, size, scheme)) if scheme.similarity else None
     # Nulls order first in a struct, so whether there is an id comes before the id.
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
-    groups = prints.groupBy("fp").agg(best.alias("best")).join(grouped(prints, scheme), "fp")
+    groups = prints.groupBy("fp").agg(best.alias("best")).join(grouped(prints, scheme, linked), "fp")
     kept = groups.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.at").alias("__at"))
     chosen = docs.withColumn("__at", row).join(kept.hint("shuffle_hash"), "__at", "left_semi")
     return chosen.dropDuplicates(["__at"]).select(*docs.columns)

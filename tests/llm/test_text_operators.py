@@ -274,6 +274,38 @@ def test_dedupe_by_similarity(spark):
     assert sum(i % 1000 == 500 for i in kept) >= 59
 
 
+def test_dedupe_equals_exact_similarity(spark, monkeypatch):
+    """Groups are those of Jaccard similarity 0.8 or more of the sets of 5-word shingles, near the threshold on both sides too."""
+    monkeypatch.setattr(simhash, "PART", 8)
+    rng = random.Random(13)
+    fresh = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for n in [90] * 16 + [270] * 6:
+        words = fresh(n + 4)
+        # k of n shingles replaced: similarity (n - k) / (n + k), from 0.82 down to 0.6; exactly 0.8 at a ninth.
+        for k in (n // 10, n // 9, n // 9 + 1, n // 8, n // 7, n // 6, n // 4):
+            texts += [words, words[: n + 4 - k] + fresh(k)]
+            words = fresh(n + 4)
+    for _ in range(40):  # four shingles and five
+        words = fresh(9)
+        texts += [words[:8], words]
+    for _ in range(6):  # a family whose members link with some others only
+        words = fresh(104)
+        texts += [words[: 104 - k] + fresh(k) for k in range(0, 26, 2)]
+    for _ in range(4):  # a shingle that is repeated counts once
+        texts += [["same"] * 300 + fresh(40)]
+    texts = [" ".join(t) for t in texts]
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    kept = [r.doc_id for r in simhash.dedupe(docs(spark, *enumerate(texts), (0, texts[0]))).collect()]
+    assert Counter(kept) == Counter(set(group))
+
+
 @pytest.mark.parametrize("large", [2, 32])
 def test_lines_equal_brute_force(spark, edge, monkeypatch, large):
     monkeypatch.setattr(line_dedup, "LARGE", large)
