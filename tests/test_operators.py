@@ -165,6 +165,14 @@ def test_overlaps_of_simulated_reads(spark):
     assert abs(got[0].qstart - 6000) < 100 and abs(got[0].qend - 10_000) < 100 and abs(got[0].tstart - 4000) < 100
 
 
+def test_overlaps_of_many_copies(spark):
+    """A passage that more than 50 reads share, and no other, still gives each pair its overlap."""
+    passage = random_genome(600)
+    reads = [(f"r{i:02d}", random_genome(100, 100 + i) + passage) for i in range(60)]
+    got = ov.all_against_all(spark.createDataFrame(reads, "id string, seq string")).select("qname", "tname").collect()
+    assert len(got) == 60 * 59 // 2 == len(set(got))
+
+
 def test_unitig_of_three_reads(spark):
     genome = random_genome(20_000)
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
