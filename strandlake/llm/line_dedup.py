@@ -4,25 +4,33 @@ Lines that hold more than white space are compared over all documents; of each g
 and place, and the others go. Equal lines are one to begin with. Two lines link if the Jaccard similarity
 of their sets of ``SIZE``-character shingles is ``SIMILARITY`` or more; groups are the connected components.
 
-1. A line's signature is ``ROWS * BANDS`` minima of its shingles' hashes, each combined by exclusive or with another
+1. A line's signature is ``ROWS * COLUMNS`` minima of its shingles' hashes, each combined by exclusive or with another
    constant, so a minimum is the shingle nearest to the constant. Shingles are rows that are summed where they arise.
-2. Lines that agree in a band share a bucket. At similarity 0.8 two lines meet in one of 9 bands of 4 rows with
-   probability 0.991, at 0.9 with 0.9999.
-3. Each line of a bucket is compared exactly with the bucket's most frequent line. Lines that are then in another
-   component than that one are compared with all of the bucket outside their own component, so no link within a bucket is
-   lost. Before an exact comparison enough of the two signatures must agree; pairs that don't are never made. In large buckets
-   the exact comparison is part of the join, so that near copies by the thousand don't make rows by the million.
-4. Components are found by star contraction, and the lines that stay are joined back to their texts.
+2. Lines that agree in a band share a bucket. The minima stand in a grid; its rows are bands, and so are its diagonals, so each minimum
+   is in two bands, and two bands share one minimum at most. At similarity 0.8 two lines meet in one of 12 bands of 4 with
+   probability 0.990, at 0.85 with 0.998, were the minima independent; what lines of different lengths really have is measured in
+   the tests and given in the README.
+3. The most frequent line of a bucket leads it, and the buckets with one lead are a class. Each line of a class is compared
+   exactly with the lead. Lines that are then in another component than the lead are compared with all of the class outside their own
+   component, so no link within a bucket is lost.
+4. Before an exact comparison two lines' bitmaps are compared: each shingle sets one of ``64 * WORDS`` bits, and a bit that one line
+   has and the other hasn't stands for at least one shingle that they don't share. Where there are more such bits than the
+   similarity allows, the exact one is lower, so this rules out nothing that links. Most pairs that don't link end here, at the
+   price of some bit counts within the join.
+5. Where classes could give more pairs than ``SPARSE`` times the lines left over, as very large groups of near copies do, these lines are first
+   compared with ``SOME`` lines of their class only, others each time, until that joins no more; what is left is compared in whole.
+6. Components are found by star contraction, and the lines that stay are joined back to their texts.
 
 Edge cases: a null text stays null; an empty text and blank lines stay as they are; lines shorter than a shingle are compared as
-wholes; a text whose lines all go becomes what blank lines it has; a null doc_id comes after all others; rows equal in doc_id and
-text are one document and come out once; an empty table gives an empty result; other columns stay, whatever their names (except
-names that begin with two underscores).
+wholes; a text whose lines all go becomes what blank lines it has; a null doc_id comes after all others; of rows equal in doc_id and
+text one counts as the first, and the others lose their lines; an empty table gives an empty result; other columns stay, whatever
+their names (except names that begin with two underscores).
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,15 +41,21 @@ from .components import components
 
 SIZE = 8
 SIMILARITY = 0.8
-ROWS = 4
-BANDS = 9
+ROWS = 6
+COLUMNS = 4
+#: The minima of each band.
+BANDS = tuple(tuple(COLUMNS * r + c for c in range(COLUMNS)) for r in range(ROWS)) + tuple(tuple(COLUMNS * ((c + s) % ROWS) + c for c in range(COLUMNS)) for s in range(ROWS))
 #: Shingles that a row holds while minima are taken; fewer rows are summed then.
 STEP = 4
-#: Of the minima of two lines so many must agree before the lines are compared exactly: 23 of 36. At similarity 0.8 the
-#: number is 29 on average, and lower than 23 with probability 0.005.
-AGREE = 23
-#: Buckets with more lines than this are large.
-LARGE = 32
+#: 64-bit words of a line's bitmap, and of that which is part of a join.
+WORDS = 32
+FOLDED = 16
+#: Pairs in classes, as a multiple of the lines left over, up to which they are compared at once.
+SPARSE = 64
+#: Lines of a class that those left over are compared with before all others.
+SOME = 8
+#: Lines left over that a part of a class holds at most.
+PART = 4096
 #: Most ids that are broadcast; more are joined by shuffling.
 BROADCAST = 300_000
 
@@ -79,46 +93,26 @@ def signatures(lines: DataFrame) -> DataFrame:
     widened = each.select("line_id", "n", "first.*", wide(F.col("line")).alias("wide"), last.alias("last"))
     exploded = widened.select("line_id", "n", *ORDER, "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
     hashes = [F.xxhash64(F.expr(f"substring(wide, 4 * least(i + {j}, last) + 1, {4 * SIZE})")).alias(f"h{j}") for j in range(STEP)]
-    minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"m{i}") for i, c in enumerate(anchors(ROWS * BANDS))]
+    minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"m{i}") for i, c in enumerate(anchors(ROWS * COLUMNS))]
     # The frequency and first place are alike for all shingles of a line; the rows of a line are in one partition already.
     found = exploded.select("line_id", "n", *ORDER, *hashes).groupBy("line_id", "n", *ORDER).agg(*minima)
 
     def packed(b: int) -> Column:
-        """Sixteen bits of each minimum of a band."""
-        out = F.col(f"m{b * ROWS}").bitwiseAND(F.lit(0xFFFF))
-        for r in range(1, ROWS):
-            out = out.bitwiseOR(F.shiftleft(F.col(f"m{b * ROWS + r}").bitwiseAND(F.lit(0xFFFF)), 16 * r))
-        return out
+        """A hash of a band's minima."""
+        return F.xxhash64(F.lit(b), *[f"m{i}" for i in BANDS[b]])
 
-    return found.select("line_id", "n", *ORDER, *[packed(b).alias(f"b{b}") for b in range(BANDS)])
+    return found.select("line_id", "n", *ORDER, *[packed(b).alias(f"b{b}") for b in range(len(BANDS))])
 
 
-def agreeing(left: str, right: str) -> Column:
-    """How many minima two lines share, from columns named like ``{left}0``."""
-    total = F.lit(0)
-    for b in range(BANDS):
-        x = F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))
-        for r in range(ROWS):
-            total = total + (F.shiftrightunsigned(x, 16 * r).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int")
-    return total
-
-
-def first_shared(left: str, right: str) -> Column:
-    """The first band in which two lines agree."""
-    out = F.lit(None).cast("int")
-    for b in reversed(range(BANDS)):
-        out = F.when(F.col(f"{left}{b}") == F.col(f"{right}{b}"), b).otherwise(out)
-    return out
-
-
-def buckets(found: DataFrame) -> DataFrame:
-    """(key, band, line_id, lead, members) of all lines that share a bucket; lead is the bucket's most frequent line."""
+def classes(found: DataFrame) -> DataFrame:
+    """(line_id, lead): each line with the most frequent line of each of its buckets, other than itself."""
     # As many bits of the bands' hashes as keep chance agreements to about one in 4,096 rows.
-    bits = min(64, 12 + max(1, math.ceil(math.log2(1 + found.count() * BANDS))))
-    keys = found.select(F.posexplode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(b), f"b{b}"), 64 - bits) for b in range(BANDS)])).alias("band", "key"), "line_id", "n")
-    bucket = W.partitionBy("key")
-    led = keys.select("key", "band", "line_id", F.first("line_id").over(bucket.orderBy(F.desc("n"), "line_id")).alias("lead"), F.count("*").over(bucket).alias("members"))
-    return led.filter("members > 1").select("key", "band", "line_id", "lead", "members")
+    bits = min(64, 12 + max(1, math.ceil(math.log2(1 + found.count() * len(BANDS)))))
+    keys = found.select(F.explode(F.array(*[F.shiftrightunsigned(f"b{b}", 64 - bits) for b in range(len(BANDS))])).alias("key"), "line_id", "n")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    rows = written(keys.join(shared.hint("shuffle_hash"), "key"), "buckets")
+    lead = rows.groupBy("key").agg(F.max(F.struct("n", "line_id")).alias("lead")).select("key", F.col("lead.line_id").alias("lead"))
+    return rows.join(lead, "key").filter("line_id <> lead").select("line_id", "lead").distinct()
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -129,59 +123,107 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def shingles(line: str) -> Column:
-    places = F.expr(f"sequence(0, greatest(length({line}) - {SIZE}, 0))")
-    return F.array_distinct(F.transform(F.array(wide(F.col(line))), lambda w: F.transform(places, lambda i: F.xxhash64(F.substring(w, 4 * i + 1, F.lit(4 * SIZE)))))[0])
+    places = F.expr(f"sequence(1, 4 * greatest(length({line}) - {SIZE}, 0) + 1, 4)")
+    return F.transform(F.array(wide(F.col(line))), lambda w: F.transform(places, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SIZE)))))[0]
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """(line_id, size, z0, z1, ...) of ``texts(line_id, line)``: how many shingles a line has at most, and its bitmap."""
+    last = F.greatest(F.length("line") - SIZE, F.lit(0))
+    widened = texts.select("line_id", wide(F.col("line")).alias("wide"), last.alias("last"))
+    each = widened.select("line_id", "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    hashed = each.select("line_id", "last", *[F.xxhash64(F.expr(f"substring(wide, 4 * least(i + {j}, last) + 1, {4 * SIZE})")).alias(f"h{j}") for j in range(STEP)])
+    word, bit = (lambda j: f"cast(h{j} & {WORDS - 1} as int)"), (lambda j: f"shiftleft(1L, cast(shiftrightunsigned(h{j}, 32) & 63 as int))")
+    placed = hashed.select("line_id", "last", *[F.expr(f(j)).alias(f"{n}{j}") for j in range(STEP) for n, f in (("w", word), ("b", bit))])
+    words = [F.bit_or(F.expr(" | ".join(f"if(w{j} = {w}, b{j}, 0L)" for j in range(STEP)))).alias(f"z{w}") for w in range(WORDS)]
+    return placed.groupBy("line_id", (F.col("last") + 1).alias("size")).agg(*words)
+
+
+def side(lines: DataFrame, name: str, words: int = WORDS) -> DataFrame:
+    """The bitmaps as those of a pair's ``name``, folded to so many words."""
+    folded = [reduce(lambda x, y: x.bitwiseOR(y), [F.coalesce(f"z{i}", F.lit(0).cast("long")) for i in range(w, WORDS, words)]) for w in range(words)]
+    return lines.select(F.col("line_id").alias(name), F.coalesce("size", F.lit(0)).alias(f"{name}_size"), *[z.alias(f"{name}_z{w}") for w, z in enumerate(folded)])
+
+
+def near(similarity: float, words: int = WORDS) -> Column:
+    """False only where the bitmaps of u and v differ in more bits than those of lines as similar as that can."""
+    total = F.lit(0)
+    for w in range(words):
+        total = total + F.bit_count(F.col(f"u_z{w}").bitwiseXOR(F.col(f"v_z{w}")))
+    return (1 + similarity) * total <= (1 - similarity) * (F.col("u_size") + F.col("v_size")) + 1e-6
+
+
+def close(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` that the whole bitmaps don't rule out."""
+    return pairs.join(side(lines, "u"), "u").join(side(lines, "v"), "v").filter(near(similarity)).select("u", "v")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Those of ``pairs(u, v)`` whose lines are as similar as that."""
     left, right = texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), texts.select(F.col("line_id").alias("v"), F.col("line").alias("b"))
-    sets = pairs.join(left, "u").join(right, "v").select("u", "v", F.transform(F.array(F.struct(shingles("a").alias("a"), shingles("b").alias("b"))), lambda s: F.struct(F.size(s["a"]).alias("a"), F.size(s["b"]).alias("b"), F.size(F.array_intersect(s["a"], s["b"])).alias("both")))[0].alias("s"))
-    return sets.filter(F.col("s.both") >= similarity * (F.col("s.a") + F.col("s.b") - F.col("s.both"))).select("u", "v")
+    # Each step's arrays are used more than once by the next, so they are computed once.
+    sets = pairs.join(left, "u").join(right, "v").select("u", "v", F.array_distinct(shingles("a")).alias("a"), F.array_distinct(shingles("b")).alias("b"))
+    sized = sets.select("u", "v", (F.size("a") + F.size("b")).alias("sum"), F.size(F.array_intersect("a", "b")).alias("both"))
+    return sized.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("u", "v")
+
+
+def left_over(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, int, int]:
+    """The classes with lines that aren't in their lead's component: (line_id, lead, own, left), how many such lines and how many pairs at most."""
+    own = groups.select(F.col("node").alias("line_id"), F.col("component").alias("own"))
+    main = groups.select(F.col("node").alias("lead"), F.col("component").alias("main"))
+    placed = members.join(own, "line_id", "left").join(main, "lead", "left").select("line_id", "lead", F.coalesce("own", "line_id").alias("own"), F.coalesce("main", "lead").alias("main"))
+    placed = written(placed.select("line_id", "lead", "own", (F.col("own") != F.col("main")).alias("left")), "placed")
+    sizes = placed.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("left").cast("long")).alias("lefts"))
+    lefts, pairs = sizes.agg(F.coalesce(F.sum("lefts"), F.lit(0)), F.coalesce(F.sum(F.col("lefts").cast("double") * F.col("n")), F.lit(0.0))).first()
+    return placed, int(lefts), int(pairs)
+
+
+def nearby(placed: DataFrame, lines: DataFrame, similarity: float, turn: int | None = None) -> DataFrame:
+    """(u, v): lines left over with lines of their class in other components, where the bitmaps allow a link.
+
+    Classes with very many lines left over are dealt out in parts of these. With a ``turn`` only ``SOME`` lines of each class are
+    compared with, others in each turn.
+    """
+    left = placed.filter("left")
+    sizes = left.groupBy("lead").agg(F.count("*").alias("lefts")).select("lead", F.ceil(F.col("lefts") / PART).cast("int").alias("parts"))
+    others = placed
+    if turn is not None:
+        place = F.row_number().over(W.partitionBy("lead").orderBy(F.xxhash64("line_id", F.lit(turn)), "line_id"))
+        others = placed.withColumn("place", place).filter(F.col("place") <= SOME).drop("place")
+    left = left.join(sizes, "lead").select("lead", F.pmod(F.hash("line_id"), F.col("parts")).alias("part"), F.col("line_id").alias("u"), F.col("own").alias("u_own")).join(side(lines, "u", FOLDED), "u")
+    others = others.join(sizes, "lead").select(F.col("lead").alias("lead_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.col("left").alias("v_left"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part_")).join(side(lines, "v", FOLDED), "v")
+    # A pair of two lines left over is taken once, where both would find it.
+    once = F.col("u_own") != F.col("v_own")
+    if turn is None:
+        once &= ~F.col("v_left") | (F.col("u") < F.col("v"))
+    met = left.join(others, (left["lead"] == others["lead_"]) & (left["part"] == others["part_"]) & once & near(similarity, FOLDED)).select("u", "v").distinct()
+    return close(met, lines, similarity)
 
 
 def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the lines that link with others; ``found`` is a written table of signatures."""
     spark = docs.sparkSession
-    members = written(buckets(found), "buckets")
+    members = written(classes(found), "classes")
     reclaim(spark)
-    needed = written(members.select("line_id").distinct(), "needed")
-    texts = written(texts_of(docs, needed), "texts")
-    signs = written(found.join(needed, "line_id", "left_semi").select("line_id", *[f"b{b}" for b in range(BANDS)]), "signs")
-    sign = lambda name: signs.select(F.col("line_id").alias(name), *[F.col(f"b{b}").alias(f"{name}{b}") for b in range(BANDS)])
-    near = agreeing("u", "v") >= AGREE
-    stars = members.filter("line_id <> lead").select(F.col("line_id").alias("u"), F.col("lead").alias("v")).distinct()
-    stars = written(stars.join(sign("u"), "u").join(sign("v"), "v").filter(near).select("u", "v"), "stars")
-    links = written(verified(stars, texts, similarity), "links")
-    groups = components(links)
-    own = groups.select(F.col("node").alias("line_id"), F.col("component").alias("own"))
-    leads = groups.select(F.col("node").alias("lead"), F.col("component").alias("main"))
-    placed = members.join(own, "line_id", "left").join(leads, "lead", "left").withColumns({"own": F.coalesce("own", "line_id"), "main": F.coalesce("main", "lead")})
-    placed = written(placed, "placed")
-    # A pair of two lines left over is taken once, and any pair only in the first band that it shares.
-    once = (F.col("u_own") != F.col("v_own")) & (~F.col("v_left") | (F.col("u") < F.col("v"))) & (F.col("band") == first_shared("u", "v")) & near
-
-    def sides(rows: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Lines left over, and all that they are to be compared with, with what ``held(line_id, ...)`` says of each."""
-        left = rows.filter("own <> main").select("key", "band", F.col("line_id").alias("u"), F.col("own").alias("u_own")).join(sign("u"), "u")
-        others = rows.filter("line_id <> lead").select("key", F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.expr("own <> main").alias("v_left")).join(sign("v"), "v")
-        others = others.join(left.select("key").distinct(), "key", "left_semi")
-        if held is not None:
-            for name in ("u", "v"):
-                side = held.select(F.col("line_id").alias(name), F.col("set").alias(f"{name}_set"))
-                left, others = (left.join(side, "u"), others) if name == "u" else (left, others.join(side, "v"))
-        return left, others
-
-    left, others = sides(placed.filter(F.col("members") <= LARGE))
-    more = written(left.join(others, (left["key"] == others["key"]) & once).select("u", "v"), "more")
-    # In a large bucket many pairs are nearly alike, so there the sets themselves are in the join's condition, and only what links comes out.
-    big = written(placed.filter(F.col("members") > LARGE), "large")
-    sets = texts.join(big.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.transform(shingles("line"), lambda h: F.shiftright(h, 32).cast("int")).alias("set"))
-    left, others = sides(big, written(sets, "sets"))
-    alike = (1 + similarity) * F.size(F.array_intersect("u_set", "v_set")) >= similarity * (F.size("u_set") + F.size("v_set"))
-    found_large = written(left.join(others, (left["key"] == others["key"]) & once & alike).select("u", "v"), "more")
-    extra = written(verified(more.unionByName(found_large), texts, similarity), "links")
-    return components(links.unionByName(extra)) if not extra.isEmpty() else groups
+    texts = written(texts_of(docs, written(members.select(F.explode(F.array("line_id", "lead")).alias("line_id")).distinct(), "needed")), "texts")
+    lines = written(bitmaps(texts), "bitmaps")
+    stars = members.select(F.col("line_id").alias("u"), F.col("lead").alias("v"))
+    links = written(verified(close(stars, lines, similarity), texts, similarity), "links")
+    groups = written(components(links), "groups")
+    placed, lefts, pairs = left_over(members, groups)
+    turn = 0
+    while pairs > SPARSE * max(1, lefts):
+        more = written(verified(nearby(placed, lines, similarity, turn), texts, similarity), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        groups = written(components(links), "groups")
+        placed, lefts, pairs = left_over(members, groups)
+        turn += 1
+    if not lefts:
+        return groups
+    more = written(verified(nearby(placed, lines, similarity), texts, similarity), "links")
+    return groups if more.isEmpty() else components(links.unionByName(more))
 
 
 def dedupe_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -199,7 +241,8 @@ def dedupe_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     none = F.array().cast("array<int>")
     # Both sides are sorted by address for the join, and repeated rows are next to each other then.
     joined = docs.withColumn("__at", address()).join(stay.hint("merge"), "__at", "left").withColumn("__stay", F.coalesce("__stay", none))
-    once = joined.withColumn("__turn", F.row_number().over(W.partitionBy("__at").orderBy("__at"))).filter("__turn = 1")
+    turn = F.row_number().over(W.partitionBy("__at").orderBy("__at"))
+    once = joined.withColumn("__turn", turn).withColumn("__stay", F.when(F.col("__turn") == 1, F.col("__stay")).otherwise(none))
 
     def rebuilt(lines: Column) -> Column:
         blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
@@ -220,6 +263,6 @@ def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``documents`` with the text that stays."""
+    """Every row of ``documents`` with the text that stays; of rows equal in doc_id and text one keeps its lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedupe_lines(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__kept").alias("n_kept"), "text")

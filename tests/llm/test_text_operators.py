@@ -306,9 +306,10 @@ def test_dedupe_equals_exact_similarity(spark, monkeypatch):
     assert Counter(kept) == Counter(set(group))
 
 
-@pytest.mark.parametrize("large", [2, 32])
-def test_lines_equal_brute_force(spark, edge, monkeypatch, large):
-    monkeypatch.setattr(line_dedup, "LARGE", large)
+@pytest.mark.parametrize(("sparse", "part"), [(0, 2), (1024, 4096)])
+def test_lines_equal_brute_force(spark, edge, monkeypatch, sparse, part):
+    monkeypatch.setattr(line_dedup, "SPARSE", sparse)
+    monkeypatch.setattr(line_dedup, "PART", part)
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(500)]
     lines = [" ".join(rng.choices(words, k=rng.randrange(1, 25))) for _ in range(60)]
@@ -352,8 +353,9 @@ def test_lines_equal_brute_force(spark, edge, monkeypatch, large):
     assert line_dedup.dedupe_lines(edge.limit(0)).count() == 0
 
 
-def test_repeated_rows_are_one_document(spark):
+def test_repeated_rows_keep_their_lines_once(spark):
     table = docs(spark, (1, "a line that is long enough"), (1, "a line that is long enough"))
+    assert sorted(r.text for r in line_dedup.dedupe_lines(table).collect()) == ["", "a line that is long enough"]
     assert [r.text for r in line_dedup.without_repeats(table).collect()] == ["a line that is long enough"]
 
 
