@@ -42,7 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more, and the shuffle files of finished steps."""
+    for df in tables:
+        if path := df.__dict__.pop("_written_to", None):
+            delete(df.sparkSession, path)
+    if tables:
+        reclaim(tables[0].sparkSession)
 
 
 def drop_at_exit(spark: SparkSession, path: str) -> None:

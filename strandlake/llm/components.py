@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, drop_at_exit, fresh_path
+from .common import delete, drop_at_exit, fresh_path, reclaim
 
 
 def _settled(now: DataFrame) -> bool:
@@ -44,6 +44,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         if old:
             delete(spark, old)
         old = path
+        reclaim(spark)
         if _settled(now):
             break
     else:

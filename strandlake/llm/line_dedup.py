@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import reclaim, require, table, written
+from .common import discard, reclaim, require, table, written
 from .components import components
 
 SIZE = 8
@@ -46,7 +46,7 @@ COLUMNS = 4
 #: The minima of each band.
 BANDS = tuple(tuple(COLUMNS * r + c for c in range(COLUMNS)) for r in range(ROWS)) + tuple(tuple(COLUMNS * ((c + s) % ROWS) + c for c in range(COLUMNS)) for s in range(ROWS))
 #: Shingles that a row holds while minima are taken; fewer rows are summed then.
-STEP = 4
+STEP = 8
 #: 64-bit words of a line's bitmap, and of that which is part of a join.
 WORDS = 32
 FOLDED = 16
@@ -112,7 +112,9 @@ def classes(found: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     rows = written(keys.join(shared.hint("shuffle_hash"), "key"), "buckets")
     lead = rows.groupBy("key").agg(F.max(F.struct("n", "line_id")).alias("lead")).select("key", F.col("lead.line_id").alias("lead"))
-    return rows.join(lead, "key").filter("line_id <> lead").select("line_id", "lead").distinct()
+    out = written(rows.join(lead, "key").filter("line_id <> lead").select("line_id", "lead").distinct(), "classes")
+    discard(rows)
+    return out
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -127,15 +129,15 @@ def shingles(line: str) -> Column:
     return F.transform(F.array(wide(F.col(line))), lambda w: F.transform(places, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SIZE)))))[0]
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
+def bitmaps(texts: DataFrame, step: int = 4) -> DataFrame:
     """(line_id, size, z0, z1, ...) of ``texts(line_id, line)``: how many shingles a line has at most, and its bitmap."""
     last = F.greatest(F.length("line") - SIZE, F.lit(0))
     widened = texts.select("line_id", wide(F.col("line")).alias("wide"), last.alias("last"))
-    each = widened.select("line_id", "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
-    hashed = each.select("line_id", "last", *[F.xxhash64(F.expr(f"substring(wide, 4 * least(i + {j}, last) + 1, {4 * SIZE})")).alias(f"h{j}") for j in range(STEP)])
+    each = widened.select("line_id", "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(step))).alias("i"))
+    hashed = each.select("line_id", "last", *[F.xxhash64(F.expr(f"substring(wide, 4 * least(i + {j}, last) + 1, {4 * SIZE})")).alias(f"h{j}") for j in range(step)])
     word, bit = (lambda j: f"cast(h{j} & {WORDS - 1} as int)"), (lambda j: f"shiftleft(1L, cast(shiftrightunsigned(h{j}, 32) & 63 as int))")
-    placed = hashed.select("line_id", "last", *[F.expr(f(j)).alias(f"{n}{j}") for j in range(STEP) for n, f in (("w", word), ("b", bit))])
-    words = [F.bit_or(F.expr(" | ".join(f"if(w{j} = {w}, b{j}, 0L)" for j in range(STEP)))).alias(f"z{w}") for w in range(WORDS)]
+    placed = hashed.select("line_id", "last", *[F.expr(f(j)).alias(f"{n}{j}") for j in range(step) for n, f in (("w", word), ("b", bit))])
+    words = [F.bit_or(F.expr(" | ".join(f"if(w{j} = {w}, b{j}, 0L)" for j in range(step)))).alias(f"z{w}") for w in range(WORDS)]
     return placed.groupBy("line_id", (F.col("last") + 1).alias("size")).agg(*words)
 
 
@@ -202,28 +204,33 @@ def nearby(placed: DataFrame, lines: DataFrame, similarity: float, turn: int | N
 
 def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the lines that link with others; ``found`` is a written table of signatures."""
-    spark = docs.sparkSession
-    members = written(classes(found), "classes")
-    reclaim(spark)
-    texts = written(texts_of(docs, written(members.select(F.explode(F.array("line_id", "lead")).alias("line_id")).distinct(), "needed")), "texts")
+    members = classes(found)
+    needed = written(members.select(F.explode(F.array("line_id", "lead")).alias("line_id")).distinct(), "needed")
+    texts = written(texts_of(docs, needed), "texts")
+    discard(needed)
     lines = written(bitmaps(texts), "bitmaps")
     stars = members.select(F.col("line_id").alias("u"), F.col("lead").alias("v"))
-    links = written(verified(close(stars, lines, similarity), texts, similarity), "links")
-    groups = written(components(links), "groups")
+    links = [written(verified(close(stars, lines, similarity), texts, similarity), "links")]
+
+    def joined() -> DataFrame:
+        return written(components(reduce(DataFrame.unionByName, links)), "groups")
+
+    groups, turn = joined(), 0
     placed, lefts, pairs = left_over(members, groups)
-    turn = 0
     while pairs > SPARSE * max(1, lefts):
-        more = written(verified(nearby(placed, lines, similarity, turn), texts, similarity), "links")
-        if more.isEmpty():
+        links.append(written(verified(nearby(placed, lines, similarity, turn), texts, similarity), "links"))
+        if links[-1].isEmpty():
             break
-        links = links.unionByName(more)
-        groups = written(components(links), "groups")
+        discard(groups, placed)
+        groups, turn = joined(), turn + 1
         placed, lefts, pairs = left_over(members, groups)
-        turn += 1
-    if not lefts:
-        return groups
-    more = written(verified(nearby(placed, lines, similarity), texts, similarity), "links")
-    return groups if more.isEmpty() else components(links.unionByName(more))
+    if lefts:
+        links.append(written(verified(nearby(placed, lines, similarity), texts, similarity), "links"))
+        if not links[-1].isEmpty():
+            discard(groups)
+            groups = joined()
+    discard(members, texts, lines, placed, *links)
+    return groups
 
 
 def dedupe_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -232,12 +239,12 @@ def dedupe_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     found = written(signatures(occurrences(docs)), "signatures")
     reclaim(spark)
-    groups = like_lines(docs, found, similarity).withColumnRenamed("node", "line_id")
-    named = found.select("line_id", F.struct(*ORDER).alias("first")).join(groups, "line_id", "left")
+    groups = like_lines(docs, found, similarity)
+    named = found.select("line_id", F.struct(*ORDER).alias("first")).join(groups.withColumnRenamed("node", "line_id"), "line_id", "left")
     alone = named.filter("component is null").select("first.at", "first.pos")
     firsts = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first.at", "first.pos")
     stay = written(alone.unionByName(firsts).groupBy(F.col("at").alias("__at")).agg(F.collect_list("pos").alias("__stay")), "stay")
-    reclaim(spark)
+    discard(found, groups)
     none = F.array().cast("array<int>")
     # Both sides are sorted by address for the join, and repeated rows are next to each other then.
     joined = docs.withColumn("__at", address()).join(stay.hint("merge"), "__at", "left").withColumn("__stay", F.coalesce("__stay", none))

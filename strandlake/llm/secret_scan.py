@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh_path, require, table, written
+from .common import drop_at_exit, fresh_path, require, table, written
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,8 @@ def report(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret of ``text`` replaced by ``mark`` and ``n_chars`` set anew; rows and other columns stay.
 
-    Overlapping spans are replaced as one. A null text stays null. The findings of a text are joined by its address.
+    Overlapping spans are replaced as one. A null text stays null. The findings of a text are joined by its address. Columns whose
+    names begin with two underscores are the operator's own and mustn't be in ``docs``.
     """
     require(docs, "text")
     spark = docs.sparkSession
@@ -141,9 +142,9 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark:
     cuts = rows.groupBy(F.col("blob").alias("__blob")).agg(
         F.array_sort(F.collect_list(F.struct("from", "start", "end"))).alias("__cuts"), F.max("end").alias("__end")
     )
-    joined = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(cuts, "__blob", "left")
+    joined = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(cuts, "__blob", "left").withColumn("__mark", F.lit(mark))
     cut = F.expr(
-        f"concat(array_join(transform(__cuts, c -> if(c.start >= c.from, concat(substring(text, c.from + 1, c.start - c.from), '{mark}'), '')), ''), substring(text, __end + 1))"
+        f"concat(array_join(transform(__cuts, c -> if(c.start >= c.from, concat(substring(text, c.from + 1, c.start - c.from), __mark), '')), ''), substring(text, __end + 1))"
     )
     text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut)
     out = joined.withColumn("text", text)
@@ -158,7 +159,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(r.kind) for r in RULES])
     count = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
     spans = F.array_join(F.transform("spans", lambda s: F.concat(kinds[s["rank"]], F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
-    return report(docs, fresh_path(spark, "ledger")).select(
+    ledger = fresh_path(spark, "ledger")
+    found = report(docs, ledger)
+    drop_at_exit(spark, ledger)
+    return found.select(
         F.col("path").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans")
     )
 

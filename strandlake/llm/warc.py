@@ -4,13 +4,15 @@ The writer makes one gzip member per record and rotates archives at ``ROTATE`` b
 their own; which of them count is in a manifest that Spark commits, so that what a lost task left behind is never read.
 
 The reader checks each member's or record's framing, gzip checksum, length and digest. Where a check fails it
-searches for the next gzip member that begins with a version line, or in an uncompressed archive for the next version line,
-goes on from there, and logs the bytes between as a quarantined gap. An archive is read as one row, so its size is bounded by
-that of a row, 2 GB; those written here are much smaller.
-
-Edge cases: null html is an empty payload; payloads under ``LEAST`` bytes are always responses; a null page_id is a response and
-never referred to; rows that repeat the smallest page_id of a payload are all responses; an empty table gives no archives;
-other columns are ignored.
+searches for the next place where a record passes: a version line, or a gzip member that begins with one, whichever comes first, be the
+archive compressed or not. It goes on from there and logs the bytes between as a quarantined gap. A member may hold several records; a
+bad one among them is skipped alike, and its gap has the member's offset and counts bytes of what the member holds. An archive is read
+in pieces, so its time is in proportion to its size; it is one row, so its size is bounded by that of a row, 2 GB. Those
+written here are much smaller.
+
+Edge cases: null html is an empty payload; payloads under ``LEAST`` bytes are always responses; of rows with a payload's smallest
+page_id one is the response and the others revisit it, as do rows with a null page_id; if all have a null page_id, all are
+responses; an empty table gives no archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +23,23 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import fresh_path, require, table
+from .common import drop_at_exit, fresh_path, require, table
 
 LEAST = 100
 ROTATE = 16 << 20
+#: Bytes that a decompressor is fed at a time.
+PIECE = 16 << 10
+#: Most names of archives that are broadcast; more are joined by shuffling.
+BROADCAST = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the WARC format.
@@ -119,15 +127,18 @@ def parse(data: bytes, at: int) -> tuple[Record, int]:
 
 
 def unpack(data: bytes, at: int) -> tuple[bytes, int]:
-    """What the gzip member that begins at ``at`` holds, and where the next one begins."""
-    opener = zlib.decompressobj(31)
+    """What the gzip member that begins at ``at`` holds, and where the next one begins. It is fed in pieces, so what follows isn't copied."""
+    opener, out = zlib.decompressobj(31), []
     try:
-        out = opener.decompress(memoryview(data)[at:])
+        while not opener.eof:
+            piece = data[at : at + PIECE]
+            if not piece:
+                raise Damage("member without end")
+            out.append(opener.decompress(piece))
+            at += len(piece)
     except zlib.error as e:
         raise Damage(str(e)) from e
-    if not opener.eof:
-        raise Damage("member without end")
-    return out, len(data) - len(opener.unused_data)
+    return b"".join(out), at - len(opener.unused_data)
 
 
 def starts(data: bytes, at: int) -> bool:
@@ -138,48 +149,63 @@ def starts(data: bytes, at: int) -> bool:
         return False
 
 
-def following(data: bytes, at: int, zipped: bool) -> int:
-    """The next place from ``at`` on where a record may begin, or the end."""
-    if not zipped:
-        found = VERSION_LINE.search(data, at)
-        return found.start() if found else len(data)
-    while (at := data.find(MEMBER, at)) >= 0:
-        if starts(data, at):
-            return at
-        at += 1
-    return len(data)
+class Places:
+    """Where in ``data`` a record may begin. What was found ahead is kept, so that many gaps don't search the same bytes again."""
 
+    def __init__(self, data: bytes):
+        self.data, self.line, self.member = data, -1, -1
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All records that pass their checks and the gaps between, in order. Offsets are those of the archive."""
-    zipped = MEMBER in data and not VERSION_LINE.match(data)
-    at = 0
+    def following(self, at: int) -> int:
+        """The next such place from ``at`` on, or the end."""
+        if self.line < at:
+            found = VERSION_LINE.search(self.data, at)
+            self.line = found.start() if found else len(self.data)
+        if self.member < at:
+            while (at := self.data.find(MEMBER, at)) >= 0 and not starts(self.data, at):
+                at += 1
+            self.member = at if at >= 0 else len(self.data)
+        return min(self.line, self.member)
+
+
+def records(data: bytes, offset: int | None = None) -> Iterator[Record | Gap]:
+    """Records and gaps in order. ``offset`` is that of the member whose content ``data`` is."""
+    places, at, begun, reason = Places(data), 0, None, ""
     while at < len(data):
         try:
-            if zipped:
+            if offset is None and data.startswith(MEMBER, at):
                 inside, end = unpack(data, at)
-                place, found = 0, []
-                while place < len(inside):
-                    one, place = parse(inside, place)
-                    one.offset = at
-                    found.append(one)
+                found = list(records(inside, at))
+                if inside and not any(isinstance(x, Record) for x in found):
+                    raise Damage(found[0].reason)
             else:
                 one, end = parse(data, at)
+                if offset is not None:
+                    one.offset = offset
                 found = [one]
         except Damage as e:
-            to = following(data, at + 1, zipped)
-            yield Gap(at, to - at, str(e))
-            at = to
+            if begun is None:
+                begun, reason = at, str(e)
+            at = places.following(at + 1)
             continue
+        if begun is not None:
+            yield Gap(begun if offset is None else offset, at - begun, reason)
+            begun = None
         yield from found
         at = end
+    if begun is not None:
+        yield Gap(begun if offset is None else offset, len(data) - begun, reason)
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """All records that pass their checks and the gaps between, in order. Offsets are those of the archive."""
+    return records(data)
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages that revisit another; only ids and digests are moved."""
-    named = pages.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = named.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to <> last").drop("last")
-    return named.join(first, "digest").filter("page_id <> refers_to").distinct()
+    """(page_id, digest, refers_to) of the pages whose payload occurs again; only ids and digests are moved."""
+    named = pages.filter(F.col("size") >= least).select("page_id", "digest")
+    first = named.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    return named.distinct().join(first, "digest")
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
@@ -189,7 +215,12 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     html = F.coalesce("html", F.lit(""))
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html")).withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html")})
-    ready = full.join(revisits(full, least).hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    other = revisits(full, least).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
+    joined = full.join(other.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    # Of equal rows with the smallest page_id one is the response.
+    turn = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
+    refers_to = F.when((F.col("page_id") == F.col("refers_to")) & (turn == 1), None).otherwise(F.col("refers_to"))
+    ready = joined.select("page_id", "url", "html", "digest", refers_to.alias("refers_to"))
     store, root = pa.fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
 
@@ -224,58 +255,63 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
 ENTRY = "archive string, offset long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, gap_bytes long, reason string"
 
 
-def read(spark: SparkSession, path: str, archives: list[str] | None = None, payloads: bool = False) -> DataFrame:
-    """All records and quarantined gaps of archives in the folder ``path`` (or of the named ones).
+def read(spark: SparkSession, path: str, manifest: DataFrame | None = None, payloads: bool = False) -> DataFrame:
+    """All records and quarantined gaps of archives in the folder ``path``, or of those in ``manifest(archive, ...)``.
 
     A gap's record_type is ``quarantined``. A response's length and digest are taken from the payload as read, a
     revisit's from its headers. With ``payloads`` the payload itself comes along.
     """
-    files = [f"{path}/{a}" for a in archives] if archives is not None else [f"{path}/*.warc*"]
     schema = ENTRY + (", payload binary" if payloads else "")
-    if archives == []:
-        return spark.createDataFrame([], schema)
     fields = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+
+    def rows(name: str, data: bytes) -> Iterator[tuple]:
+        for x in salvage(data):
+            if isinstance(x, Gap):
+                yield (name, x.offset, None, "quarantined", None, None, None, x.length, x.reason, None)
+                continue
+            kind, payload = x.headers.get("warc-type"), x.payload()
+            refers_to = page_of(x.headers.get("warc-refers-to"))
+            if kind == "revisit":
+                length = x.headers.get("x-payload-length", "")
+                size, digest = int(length) if length.isdigit() else 0, x.headers.get("warc-payload-digest", "").removeprefix("sha256:")
+            else:
+                size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+            yield (name, x.offset, page_of(x.headers.get("warc-record-id")), kind, refers_to, size, digest, None, None, payload if payloads else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for i in range(batch.num_rows):
-                name, data = batch.column("path")[i].as_py(), batch.column("content")[i].as_py()
-                rows = []
-                for x in salvage(data):
-                    if isinstance(x, Gap):
-                        rows.append((name, x.offset, None, "quarantined", None, None, None, x.length, x.reason, None))
-                        continue
-                    kind, payload = x.headers.get("warc-type"), x.payload()
-                    refers_to = page_of(x.headers.get("warc-refers-to"))
-                    if kind == "revisit":
-                        size, digest = int(x.headers.get("x-payload-length") or 0), x.headers.get("warc-payload-digest", "").removeprefix("sha256:")
-                    else:
-                        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                    rows.append((name, x.offset, page_of(x.headers.get("warc-record-id")), kind, refers_to, size, digest, None, None, payload))
-                for at in range(0, len(rows), 1024):
-                    columns = list(zip(*rows[at : at + 1024], strict=True))[: len(fields)]
+                found = rows(batch.column("path")[i].as_py(), batch.column("content")[i].as_py())
+                while part := list(islice(found, 64 if payloads else 1024)):
+                    columns = list(zip(*part, strict=True))[: len(fields)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], fields)
 
-    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(run, schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
+    if manifest is not None:
+        names = manifest.select(F.col("archive").alias("name"))
+        name = F.element_at(F.split("path", "/"), -1)
+        files = files.join(F.broadcast(names) if names.count() <= BROADCAST else names, name == F.col("name"), "left_semi")
+    return files.mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
     """Writes the pages to archives in ``path`` and reads those back."""
-    names = [r["archive"] for r in write(pages, path).select("archive").collect()]
-    return read(pages.sparkSession, path, sorted(names))
+    return read(pages.sparkSession, path, write(pages, path))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``pages``, written to archives in the shared folder and read back."""
-    found = round_trip(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    path = fresh_path(spark, "warc")
+    found = round_trip(table(spark, sf_dir, "pages"), path)
+    drop_at_exit(spark, path)
     return found.filter("record_type <> 'quarantined'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
-f as (select payload_digest, min(page_id) first from p where payload_bytes >= 100 group by 1)
-select page_id, cast(payload_bytes as bigint) payload_bytes, p.payload_digest,
-  case when page_id <> first then 'revisit' else 'response' end record_type, case when page_id <> first then first end refers_to
-from p left join f on f.payload_digest = p.payload_digest and payload_bytes >= 100
+f as (select *, min(page_id) over (partition by payload_digest) first, row_number() over (partition by payload_digest order by page_id nulls last) turn from p),
+r as (select *, payload_bytes >= 100 and turn > 1 and first is not null revisit from f)
+select page_id, cast(payload_bytes as bigint) payload_bytes, payload_digest,
+  case when revisit then 'revisit' else 'response' end record_type, case when revisit then first end refers_to from r
 """
