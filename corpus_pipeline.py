@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import line_dedup, packing, quality_rules, secret_scan, simhash
-from strandlake.llm.common import fresh_path, table, vocabulary, written
+from strandlake.llm.common import drop_at_exit, fresh_path, table, vocabulary, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    return secret_scan.redact(docs, fresh_path(spark, "ledger"))
+    ledger = fresh_path(spark, "ledger")
+    kept = secret_scan.redact(docs, ledger)
+    drop_at_exit(spark, ledger)
+    return kept
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
