@@ -129,8 +129,9 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(5)
     unit = rng.standard_normal((400, 64))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    code, f = vector_dedup.codes(unit)
-    error = vector_dedup.estimates(code, f, unit[:200]) - unit[:200] @ unit.T
+    rows = vector_dedup.coded(unit)
+    f = rows.f
+    error = vector_dedup.estimates(rows, rows.take(np.arange(200))) - unit[:200] @ unit.T
     off = ~np.eye(400, dtype=bool)[:200]
     assert abs(error[off].mean()) < 0.005
     slack = vector_dedup.EPS * np.sqrt((1 - f * f) / (f * f) / 63)
