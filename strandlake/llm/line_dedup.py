@@ -18,7 +18,7 @@ of their sets of ``SIZE``-character shingles is ``SIMILARITY`` or more; groups a
    similarity allows, the exact one is lower, so this rules out nothing that links. Most pairs that don't link end here, at the
    price of some bit counts within the join.
 5. Where classes could give more pairs than ``SPARSE`` times the lines left over, as very large groups of near copies do, these lines are first
-   compared with ``SOME`` lines of their class only, others each time, until that joins no more; what is left is compared in whole.
+   compared with ``SOME`` lines of their class only, others each time, while that halves them; what is left is compared in whole.
 6. Components are found by star contraction, and the lines that stay are joined back to their texts.
 
 Edge cases: a null text stays null; an empty text and blank lines stay as they are; lines shorter than a shingle are compared as
@@ -56,7 +56,7 @@ SPARSE = 64
 SOME = 8
 #: Lines left over that a part of a class holds at most.
 PART = 4096
-#: Most ids that are broadcast; more are joined by shuffling.
+#: Most rows of ids or pairs of ids that are broadcast; more are joined by shuffling.
 BROADCAST = 300_000
 
 ORDER = ("absent", "doc_id", "at", "pos")
@@ -117,6 +117,11 @@ def classes(found: DataFrame) -> DataFrame:
     return out
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has few rows, else as it is."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(line_id, line) of the lines whose ids are in ``ids(line_id)``, a written table."""
     lines = occurrences(docs).select(F.xxhash64("line").alias("line_id"), "line")
@@ -141,10 +146,15 @@ def bitmaps(texts: DataFrame, step: int = 4) -> DataFrame:
     return placed.groupBy("line_id", (F.col("last") + 1).alias("size")).agg(*words)
 
 
-def side(lines: DataFrame, name: str, words: int = WORDS) -> DataFrame:
-    """The bitmaps as those of a pair's ``name``, folded to so many words."""
-    folded = [reduce(lambda x, y: x.bitwiseOR(y), [F.coalesce(f"z{i}", F.lit(0).cast("long")) for i in range(w, WORDS, words)]) for w in range(words)]
-    return lines.select(F.col("line_id").alias(name), F.coalesce("size", F.lit(0)).alias(f"{name}_size"), *[z.alias(f"{name}_z{w}") for w, z in enumerate(folded)])
+def folded(words: int = FOLDED) -> list[Column]:
+    """The bitmap in so many words, and never null."""
+    parts = [[F.coalesce(f"z{i}", F.lit(0).cast("long")) for i in range(w, WORDS, words)] for w in range(words)]
+    return [reduce(lambda x, y: x.bitwiseOR(y), p).alias(f"z{w}") for w, p in enumerate(parts)]
+
+
+def side(name: str, words: int) -> list[Column]:
+    """Size and bitmap as those of a pair's ``name``."""
+    return [F.coalesce("size", F.lit(0)).alias(f"{name}_size"), *[F.coalesce(f"z{w}", F.lit(0).cast("long")).alias(f"{name}_z{w}") for w in range(words)]]
 
 
 def near(similarity: float, words: int = WORDS) -> Column:
@@ -155,81 +165,85 @@ def near(similarity: float, words: int = WORDS) -> Column:
     return (1 + similarity) * total <= (1 - similarity) * (F.col("u_size") + F.col("v_size")) + 1e-6
 
 
-def close(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(u, v)`` that the whole bitmaps don't rule out."""
-    return pairs.join(side(lines, "u"), "u").join(side(lines, "v"), "v").filter(near(similarity)).select("u", "v")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose lines are as similar as that."""
-    left, right = texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), texts.select(F.col("line_id").alias("v"), F.col("line").alias("b"))
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the written ``pairs(u, v)`` whose lines are as similar as that. Sets are made only where the bitmaps allow it."""
+    left = lines.select(F.col("line_id").alias("u"), F.col("line").alias("x"), *side("u", WORDS))
+    right = lines.select(F.col("line_id").alias("v"), F.col("line").alias("y"), *side("v", WORDS))
+    met = left.join(small(pairs), "u").join(right, "v").filter(near(similarity)).select("u", "v", "x", "y")
     # Each step's arrays are used more than once by the next, so they are computed once.
-    sets = pairs.join(left, "u").join(right, "v").select("u", "v", F.array_distinct(shingles("a")).alias("a"), F.array_distinct(shingles("b")).alias("b"))
+    sets = met.select("u", "v", F.array_distinct(shingles("x")).alias("a"), F.array_distinct(shingles("y")).alias("b"))
     sized = sets.select("u", "v", (F.size("a") + F.size("b")).alias("sum"), F.size(F.array_intersect("a", "b")).alias("both"))
     return sized.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
 def left_over(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, int, int]:
-    """The classes with lines that aren't in their lead's component: (line_id, lead, own, left), how many such lines and how many pairs at most."""
+    """``members`` with their components and whether that isn't their lead's; how many such lines there are and how many pairs at most."""
     own = groups.select(F.col("node").alias("line_id"), F.col("component").alias("own"))
     main = groups.select(F.col("node").alias("lead"), F.col("component").alias("main"))
-    placed = members.join(own, "line_id", "left").join(main, "lead", "left").select("line_id", "lead", F.coalesce("own", "line_id").alias("own"), F.coalesce("main", "lead").alias("main"))
-    placed = written(placed.select("line_id", "lead", "own", (F.col("own") != F.col("main")).alias("left")), "placed")
+    few = groups.count() <= BROADCAST
+    own, main = (F.broadcast(own), F.broadcast(main)) if few else (own, main)
+    placed = members.join(own, "line_id", "left").join(main, "lead", "left").withColumn("own", F.coalesce("own", "line_id"))
+    placed = written(placed.withColumn("left", F.col("own") != F.coalesce("main", "lead")).drop("main"), "placed")
     sizes = placed.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("left").cast("long")).alias("lefts"))
     lefts, pairs = sizes.agg(F.coalesce(F.sum("lefts"), F.lit(0)), F.coalesce(F.sum(F.col("lefts").cast("double") * F.col("n")), F.lit(0.0))).first()
     return placed, int(lefts), int(pairs)
 
 
-def nearby(placed: DataFrame, lines: DataFrame, similarity: float, turn: int | None = None) -> DataFrame:
-    """(u, v): lines left over with lines of their class in other components, where the bitmaps allow a link.
+def nearby(placed: DataFrame, similarity: float, turn: int | None = None) -> DataFrame:
+    """(u, v): lines left over with lines of their class in other components, where the folded bitmaps allow a link.
 
     Classes with very many lines left over are dealt out in parts of these. With a ``turn`` only ``SOME`` lines of each class are
     compared with, others in each turn.
     """
     left = placed.filter("left")
-    sizes = left.groupBy("lead").agg(F.count("*").alias("lefts")).select("lead", F.ceil(F.col("lefts") / PART).cast("int").alias("parts"))
+    sizes = written(left.groupBy("lead").agg(F.count("*").alias("lefts")).select("lead", F.ceil(F.col("lefts") / PART).cast("int").alias("parts")), "sizes")
     others = placed
     if turn is not None:
         place = F.row_number().over(W.partitionBy("lead").orderBy(F.xxhash64("line_id", F.lit(turn)), "line_id"))
         others = placed.withColumn("place", place).filter(F.col("place") <= SOME).drop("place")
-    left = left.join(sizes, "lead").select("lead", F.pmod(F.hash("line_id"), F.col("parts")).alias("part"), F.col("line_id").alias("u"), F.col("own").alias("u_own")).join(side(lines, "u", FOLDED), "u")
-    others = others.join(sizes, "lead").select(F.col("lead").alias("lead_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.col("left").alias("v_left"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part_")).join(side(lines, "v", FOLDED), "v")
+    left = left.join(small(sizes), "lead").select("lead", F.pmod(F.hash("line_id"), F.col("parts")).alias("part"), F.col("line_id").alias("u"), F.col("own").alias("u_own"), *side("u", FOLDED))
+    others = others.join(small(sizes), "lead").select(
+        F.col("lead").alias("lead_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.col("left").alias("v_left"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part_"), *side("v", FOLDED)
+    )
     # A pair of two lines left over is taken once, where both would find it.
     once = F.col("u_own") != F.col("v_own")
     if turn is None:
         once &= ~F.col("v_left") | (F.col("u") < F.col("v"))
-    met = left.join(others, (left["lead"] == others["lead_"]) & (left["part"] == others["part_"]) & once & near(similarity, FOLDED)).select("u", "v").distinct()
-    return close(met, lines, similarity)
+    return left.join(others, (left["lead"] == others["lead_"]) & (left["part"] == others["part_"]) & once & near(similarity, FOLDED)).select("u", "v").distinct()
 
 
 def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the lines that link with others; ``found`` is a written table of signatures."""
-    members = classes(found)
-    needed = written(members.select(F.explode(F.array("line_id", "lead")).alias("line_id")).distinct(), "needed")
+    stars = classes(found)
+    needed = written(stars.select(F.explode(F.array("line_id", "lead")).alias("line_id")).distinct(), "needed")
     texts = written(texts_of(docs, needed), "texts")
-    discard(needed)
-    lines = written(bitmaps(texts), "bitmaps")
-    stars = members.select(F.col("line_id").alias("u"), F.col("lead").alias("v"))
-    links = [written(verified(close(stars, lines, similarity), texts, similarity), "links")]
+    lines = written(texts.join(bitmaps(texts), "line_id"), "lines")
+    discard(needed, texts)
+    links = []
+
+    def join(pairs: DataFrame) -> bool:
+        """Adds those of ``pairs`` that link; whether there are any."""
+        pairs = written(pairs, "pairs")
+        links.append(written(verified(pairs, lines, similarity), "links"))
+        discard(pairs)
+        return not links[-1].isEmpty()
 
     def joined() -> DataFrame:
         return written(components(reduce(DataFrame.unionByName, links)), "groups")
 
+    join(stars.select(F.col("line_id").alias("u"), F.col("lead").alias("v")))
+    members = written(lines.select("line_id", "size", *folded()).join(small(stars), "line_id"), "members")
     groups, turn = joined(), 0
     placed, lefts, pairs = left_over(members, groups)
-    while pairs > SPARSE * max(1, lefts):
-        links.append(written(verified(nearby(placed, lines, similarity, turn), texts, similarity), "links"))
-        if links[-1].isEmpty():
-            break
+    before = 2 * lefts
+    while pairs > SPARSE * max(1, lefts) and 2 * lefts <= before and join(nearby(placed, similarity, turn)):
         discard(groups, placed)
-        groups, turn = joined(), turn + 1
+        groups, turn, before = joined(), turn + 1, lefts
         placed, lefts, pairs = left_over(members, groups)
-    if lefts:
-        links.append(written(verified(nearby(placed, lines, similarity), texts, similarity), "links"))
-        if not links[-1].isEmpty():
-            discard(groups)
-            groups = joined()
-    discard(members, texts, lines, placed, *links)
+    if lefts and join(nearby(placed, similarity)):
+        discard(groups)
+        groups = joined()
+    discard(stars, members, lines, placed, *links)
     return groups
 
 
