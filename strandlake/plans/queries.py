@@ -160,7 +160,7 @@ def acceptor_redirect(spark, sf_dir):
 @query(
     "multiline_containments",
     EDGES_SQL
-    + """, kept as (select *, concat(least(qname, tname), '-', greatest(qname, tname)) pair from classified where c = 1 and line_no % 3 = 0),
+    + """, kept as (select *, concat(least(qname, tname), '-', greatest(qname, tname)) pair from classified where c = 1),
 heads as (select pair, count(*) parts, arg_min(struct_pack(qname := qname, tname := tname, qlen := qlen, tlen := tlen), line_no) h from kept group by pair having count(*) between 2 and 10),
 q as (select pair, b from (select k.pair, unnest(range(qstart // 100, least(qend // 100, h.qlen // 100))) b from kept k join heads using (pair)) group by all),
 t as (select pair, b from (select k.pair, unnest(range(tstart // 100, least(tend // 100, h.tlen // 100))) b from kept k join heads using (pair)) group by all),
@@ -175,7 +175,7 @@ from k2 where qf or tf""",
 )
 def multiline_containments(spark, sf_dir):
     found = classified(spark, sf_dir)
-    internal = found.filter("c = 1 and line_no % 3 = 0")
+    internal = found.filter("c = 1")
     return li.multiline_containments(internal, internal.select(F.col("qname").alias("header")).limit(0)).select("source", "target", "cstart", "cend", "ostart", "oend")
 
 
@@ -188,14 +188,14 @@ def links_without(spark, sf_dir):
 @query(
     "trim_outcome",
     CLASS_SQL
-    + """, originals as (select distinct tname sid from classified where c = 6), seen as (select qname h from classified where c in (4, 5) and line_no % 9 = 0 union select tname from classified where c in (4, 5) and line_no % 9 = 0)
+    + """, originals as (select distinct tname sid from classified where c = 6), seen as (select qname h from classified where c in (4, 5) union select tname from classified where c in (4, 5))
 select case when sid in (select h from seen) then sid else concat(sid, '%') end header from originals""",
 )
 def trim_outcome(spark, sf_dir):
     found = classified(spark, sf_dir)
     originals = found.filter("c = 6").select(F.col("tname").alias("sid")).distinct()
     mark = lambda c: F.concat(F.col(c), F.lit("%")).alias(c)
-    overlaps = found.filter("c in (4, 5) and line_no % 9 = 0").select(mark("qname"), mark("tname"))
+    overlaps = found.filter("c in (4, 5)").select(mark("qname"), mark("tname"))
     return li.trim_outcome(originals, overlaps)
 
 

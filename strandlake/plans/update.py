@@ -71,8 +71,11 @@ class Loaded:
     overlaps: DataFrame
 
 
-def load(state: State, records: DataFrame, settings: Settings, reheat_to: int, propagate: bool = True) -> Loaded:
-    """Takes alignment records into the pool: containments hand on coverage and leave, overlaps become links."""
+def load(state: State, records: DataFrame, settings: Settings, reheat_to: int, propagate: bool = True, settle: bool = True) -> Loaded:
+    """Takes alignment records into the pool: containments hand on coverage and leave, overlaps become links.
+
+    Without ``settle`` only links and what follows from the records are taken; no sequence leaves, gains coverage or is reheated.
+    """
     numbered = materialize(records.withColumn("line_no", F.monotonically_increasing_id()), "records")
     found = al.with_class(numbered.filter(al.passes(settings.min_map_len, settings.min_s1, settings.min_seq_len)))
     if settings.tetra:
@@ -85,6 +88,8 @@ def load(state: State, records: DataFrame, settings: Settings, reheat_to: int, p
     several = li.multiline_containments(found.filter("c = 1"), sources).select("source", "target", "cstart", "cend", "ostart", "oend", F.lit(0).alias("rev"))
     edges = materialize(edges.join(several.select("source", "target"), ["source", "target"], "left_anti").unionByName(several), "edges")
     linked = li.links(found, state.links).select(*LINK_COLUMNS)
+    if not settle:
+        return Loaded(state.sequences, materialize(linked, "links"), found.filter("c = 6"), li.last_overlaps(found))
     sequences = co.propagate(state.sequences, edges) if propagate and not edges.isEmpty() else state.sequences
     contained = edges.select(F.col("source").alias("header")).distinct()
     hot = li.overlappers(li.links(found))
@@ -121,7 +126,7 @@ def retry_trimmed(state: State, last: Loaded, settings: Settings, aligner: Align
     copies = materialize(copies.join(rest, "header").select(*state.sequences.columns), "copies")
     partners = state.sequences.join(cuts.select(F.col("other").alias("header")).distinct(), "header", "left_semi")
     held = replace(state, sequences=materialize(po.upsert(state.sequences, copies), "sequences"))
-    done = load(held, aligner.overlaps(_named(copies), _named(partners)), settings, settings.temperature)
+    done = load(held, aligner.overlaps(_named(copies), _named(partners)), settings, settings.temperature, settle=False)
     gone = materialize(li.trim_outcome(cuts.select("sid"), done.overlaps), "gone")
     return replace(held, sequences=materialize(po.without(done.sequences, gone), "sequences"), links=materialize(li.without_sequences(done.links, gone), "links"))
 

@@ -29,7 +29,9 @@ def unitigs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     order = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     numbered = rows.withColumns({"block": F.sum((F.col("kind") == "S").cast("int")).over(order), "cap": F.sum((F.col("kind") == "x").cast("int")).over(order)})
     s = numbered.filter("kind = 'S'").select("file", "block", F.col("f")[1].alias("name"), F.col("f")[2].alias("seq"), F.regexp_extract(F.array_join("f", "\t"), r"LN:i:(\d+)", 1).cast("long").alias("length"))
-    caps = numbered.filter("kind = 'x'").select("file", F.col("cap").alias("block"), *[F.coalesce(F.get("f", F.lit(i)).try_cast("long") > 0, F.lit(False)).alias(c) for i, c in ((4, "cap_l"), (5, "cap_r"))])
+    # Where one of the two columns is missing, neither end is capped.
+    both = F.get("f", F.lit(4)).isNotNull() & F.get("f", F.lit(5)).isNotNull()
+    caps = numbered.filter("kind = 'x'").select("file", F.col("cap").alias("block"), *[F.coalesce(both & (F.get("f", F.lit(i)).try_cast("long") > 0), F.lit(False)).alias(c) for i, c in ((4, "cap_l"), (5, "cap_r"))])
     wrong = numbered.groupBy("file").agg((F.count_if(F.col("kind") == "S") != F.count_if(F.col("kind") == "x")).alias("bad")).filter("bad")
     if not wrong.isEmpty():
         raise ValueError("numbers of S and x lines differ")
