@@ -215,10 +215,12 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     html = F.coalesce("html", F.lit(""))
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html")).withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html")})
-    other = revisits(full, least).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
-    joined = full.join(other.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    # Null ids are joined by two columns that aren't null, so that the join's partitioning also serves the window.
+    key = {"k": F.coalesce("page_id", F.lit(0)), "absent": F.col("page_id").isNull()}
+    other = revisits(full, least).withColumns(key).drop("page_id")
+    joined = full.withColumns(key).join(other.hint("shuffle_hash"), ["k", "absent", "digest"], "left")
     # Of equal rows with the smallest page_id one is the response.
-    turn = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
+    turn = F.row_number().over(W.partitionBy("k", "absent", "digest").orderBy("url"))
     refers_to = F.when((F.col("page_id") == F.col("refers_to")) & (turn == 1), None).otherwise(F.col("refers_to"))
     ready = joined.select("page_id", "url", "html", "digest", refers_to.alias("refers_to"))
     store, root = pa.fs.FileSystem.from_uri(path)
