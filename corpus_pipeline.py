@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: SQL can't express the tokenizers, so the pipeline is tested against a brute-force version.
+#: SQL can't express the tokenizers. The operators are tested against brute force one by one; the test of the whole reruns the stages.
 ORACLE_SQL = None
 
 
