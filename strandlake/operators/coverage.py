@@ -69,30 +69,55 @@ def without_end_repeats(reads: DataFrame, intervals: DataFrame, window: int = 50
     return reads.join(end_repeats(intervals, window, most).withColumnRenamed("target", "read_id"), "read_id", "left_anti")
 
 
-def contribution(cov: Column, cstart: Column, cend: Column, clen: Column, olen: Column, rev: Column, share: Column) -> Column:
-    """What a contained sequence hands on: its span's coverage, cut or lengthened by its last value to the container's span
-    (lengths of the spans), turned round if reverse, divided among its containers."""
-    span = F.slice(cov, (cstart + 1).cast("int"), F.greatest(cend - cstart, F.lit(0)).cast("int"))
-    more = F.greatest(olen - clen, F.lit(0)).cast("int")
-    fitted = F.when(clen > olen, F.slice(span, F.lit(1), F.greatest(olen, F.lit(0)).cast("int"))).otherwise(F.concat(span, F.array_repeat(F.try_element_at(span, F.lit(-1)), more)))
-    return F.transform(F.when(rev == 1, F.reverse(fitted)).otherwise(fitted), lambda x: x / share)
+def segments_of(cov: Column) -> Column:
+    """An array of coverage as stretches (s, e, x) of equal values."""
+    # Each array is used more than once by the next step, so it is bound to a lambda's variable and computed once.
+    places = F.when(F.size(cov) > 0, F.sequence(F.lit(0), F.size(cov) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | ~F.get(cov, i).eqNullSafe(F.get(cov, i - 1)))
+    return F.transform(F.array(starts), lambda a: F.transform(a, lambda i, k: F.struct(i.alias("s"), F.coalesce(F.get(a, k + 1), F.size(cov)).alias("e"), F.get(cov, i).alias("x"))))[0]
+
+
+def contribution(segments: Column, cstart: Column, cend: Column, length: Column, ostart: Column, oend: Column, rev: Column, share: Column) -> Column:
+    """What a contained sequence of ``length`` bases hands on, as stretches (s, e, x) of the container: its span's coverage, cut or
+    lengthened by its last value to the container's span, turned round if reverse, divided among its containers."""
+    clen, olen = F.greatest(cend - cstart, F.lit(0)), F.greatest(oend - ostart, F.lit(0))
+    inside = F.least(clen, length - cstart)
+    fitted = F.when(inside <= 0, 0).when(clen > olen, F.least(inside, olen)).otherwise(inside + olen - clen)
+
+    def placed(x: Column) -> Column:
+        a = F.greatest(x["s"] - cstart, F.lit(0))
+        # The last stretch goes on to the end of the container's span.
+        b = F.when(x["e"] - cstart >= inside, fitted).otherwise(F.least(x["e"] - cstart, fitted))
+        s, e = F.when(rev == 1, fitted - b).otherwise(a), F.when(rev == 1, fitted - a).otherwise(b)
+        return F.struct((ostart + s).cast("long").alias("s"), (ostart + e).cast("long").alias("e"), (x["x"] / share).alias("x"))
+
+    within = F.filter(segments, lambda x: (x["e"] > cstart) & (x["s"] - cstart < F.least(inside, fitted)))
+    return F.filter(F.transform(within, placed), lambda x: x["e"] > x["s"])
 
 
 def apply_level(sequences: DataFrame, level: DataFrame) -> DataFrame:
     """``sequences(header, cov, atoms)`` after the edges of one level, all of them from what was before it.
 
-    ``level(source, target, cstart, cend, ostart, oend, rev)``. Sums are clipped once, at the end.
+    ``level(source, target, cstart, cend, ostart, oend, rev)``. Coverage is summed as changes at the ends of stretches of equal
+    values, not as a row per base, with partial sums, as very many reads may lie in one contig. Sums are rounded to nine decimals,
+    which removes what adding and subtracting leaves, and clipped once, at the end.
     """
     shared = level.join(links.multiplicity(level), "source")
-    given = shared.join(sequences.select(F.col("header").alias("source"), "cov"), "source")
-    part = contribution(F.col("cov"), F.col("cstart"), F.col("cend"), F.col("cend") - F.col("cstart"), F.col("oend") - F.col("ostart"), F.col("rev"), F.col("n").cast("double"))
-    adds = given.select("target", "ostart", F.posexplode(part).alias("i", "add")).select(F.col("target").alias("header"), (F.col("ostart") + F.col("i")).alias("pos"), "add")
+    needed = level.select(F.explode(F.array("source", "target")).alias("header")).distinct()
+    held = materialize(sequences.join(needed, "header", "left_semi").select("header", F.size("cov").alias("length"), segments_of(F.col("cov")).alias("segments")), "segments")
+    given = shared.join(held.withColumnRenamed("header", "source"), "source")
+    part = contribution(F.col("segments"), F.col("cstart"), F.col("cend"), F.col("length"), F.col("ostart"), F.col("oend"), F.col("rev"), F.col("n").cast("double"))
+    adds = given.select(F.col("target").alias("header"), F.inline(part)).withColumn("own", F.lit(0))
     touched = level.select(F.col("target").alias("header")).distinct()
-    # Bases of a container are summed as rows, with partial sums, as very many reads may lie in one contig.
-    bases = sequences.join(touched, "header", "left_semi").select("header", F.posexplode("cov").alias("pos", "add"))
-    summed = bases.select("header", F.col("pos").cast("long").alias("pos"), "add", F.lit(True).alias("own")).unionByName(adds.select("header", F.col("pos").cast("long").alias("pos"), "add", F.lit(False).alias("own")))
-    summed = summed.groupBy("header", "pos").agg(F.least(F.sum("add"), F.lit(CEILING)).alias("x"), F.bool_or("own").alias("own")).filter("own")
-    arrays = summed.groupBy("header").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("new_cov"))
+    own = held.join(touched, "header", "left_semi").select("header", F.inline("segments")).withColumn("own", F.lit(1))
+    both = own.unionByName(adds).select("header", F.explode(F.array(F.struct(F.col("s").cast("long").alias("pos"), F.col("x"), "own"), F.struct(F.col("e").cast("long").alias("pos"), (-F.col("x")).alias("x"), (-F.col("own")).alias("own")))).alias("d")).select("header", "d.*")
+    steps = both.groupBy("header", "pos").agg(F.sum("x").alias("x"), F.sum("own").alias("own"))
+    w = W.partitionBy("header").orderBy("pos")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    runs = steps.select("header", F.col("pos").alias("s"), F.lead("pos").over(w).alias("e"), F.round(F.sum("x").over(upto), 9).alias("x"), F.sum("own").over(upto).alias("own"))
+    # Only what lies on the container itself counts.
+    runs = runs.filter("own > 0 and e is not null").select("header", F.struct("s", "e", F.least("x", F.lit(CEILING)).alias("x")).alias("r"))
+    arrays = runs.groupBy("header").agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.array_repeat(r["x"], (r["e"] - r["s"]).cast("int")))).alias("new_cov"))
     members = level.filter(~F.col("source").contains("*")).groupBy(F.col("target").alias("header")).agg(F.collect_set("source").alias("new_atoms"))
     none = F.array().cast("array<string>")
     out = sequences.join(arrays, "header", "left").join(members, "header", "left")

@@ -410,14 +410,14 @@ def prior_lengths(spark, sf_dir):
 
 
 # Coverage and repeats.
-DEPTH_SQL = CLASS_SQL + """, iv as (select case when c = 2 then tname else qname end target, case when c = 2 then tlen else qlen end tlen, case when c = 2 then tstart else qstart end tstart, case when c = 2 then tend else qend end tend from classified where c in (2, 3) and line_no % 40 = 0),
+DEPTH_SQL = CLASS_SQL + """, iv as (select case when c = 2 then tname else qname end target, case when c = 2 then tlen else qlen end tlen, case when c = 2 then tstart else qstart end tstart, case when c = 2 then tend else qend end tend from classified where c in (2, 3)),
 steps as (select target, pos, sum(d) d from (select target, tstart pos, 1 d from iv union all select target, tend, -1 from iv union all select distinct target, tlen, 0 from iv union all select distinct target, 0, 0 from iv) group by all),
 runs as (select target, pos s, lead(pos) over (partition by target order by pos) e, cast(sum(d) over (partition by target order by pos) as bigint) depth from steps), depth as (select * from runs where e > s)
 """
 
 
 def _intervals(spark, sf_dir):
-    x = classified(spark, sf_dir).filter("c in (2, 3) and line_no % 40 = 0").select(al.containment_coordinates().alias("x"))
+    x = classified(spark, sf_dir).filter("c in (2, 3)").select(al.containment_coordinates().alias("x"))
     return x.select(F.col("x.container").alias("target"), F.col("x.olen").alias("tlen"), F.col("x.ostart").alias("tstart"), F.col("x.oend").alias("tend"))
 
 
@@ -465,13 +465,13 @@ def repeat_sequences(spark, sf_dir):
 
 
 # Coverage handed on along containments.
-DAG_SQL = EDGES_SQL + ", dag as (select source, target, line_no from containments where cast(regexp_extract(source, '[0-9]+') as int) < cast(regexp_extract(target, '[0-9]+') as int) and line_no % 50 = 0)"
+DAG_SQL = EDGES_SQL + ", dag as (select source, target, line_no from containments where cast(regexp_extract(source, '[0-9]+') as int) < cast(regexp_extract(target, '[0-9]+') as int))"
 
 
 def _dag(spark, sf_dir):
     number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("int")
     edges = li.containments(classified(spark, sf_dir)).withColumn("x", al.containment_coordinates())
-    return edges.filter((number("source") < number("target")) & (F.col("line_no") % 50 == 0)).select("source", "target", "x.cstart", "x.cend", "x.ostart", "x.oend", "x.olen", "rev")
+    return edges.filter(number("source") < number("target")).select("source", "target", "x.cstart", "x.cend", "x.ostart", "x.oend", "x.olen", "rev")
 
 
 @query(
@@ -536,15 +536,16 @@ def dimer_counts(spark, sf_dir):
 @query(
     "tetramer_distance",
     _kmer_sql(4)
-    + """, top as (select header, max(rk) top from ranked group by header), pairs as (select cast(i as varchar) qname, cast(i + 1 as varchar) tname from range(0, 400, 2) r(i)),
+    + """, top as (select header, max(rk) top from ranked group by header), pairs as (select cast(doc_id as varchar) qname, cast(doc_id + 1 as varchar) tname from documents),
 lim as (select qname, tname, least(a.top, b.top) lim from pairs join top a on a.header = qname join top b on b.header = tname),
-u as (select qname, tname, header, rk, n from lim join ranked on header in (qname, tname) and rk <= lim),
+ends as (select qname, tname, lim, unnest([qname, tname]) header from lim), u as (select qname, tname, header, rk, n from ends join ranked using (header) where rk <= lim),
 sh as (select qname, tname, header, rk, n / sum(n) over (partition by qname, tname, header) p from u),
 d as (select qname, tname, rk, sum(case when header = qname then p else -p end) diff from sh group by all)
 select qname, tname, round(sqrt(sum(diff * diff)), 9) distance from d group by all having sqrt(sum(diff * diff)) < 0.036""",
 )
 def tetramer_distance(spark, sf_dir):
-    pairs = spark.range(0, 400, 2).select(F.col("id").cast("string").alias("qname"), (F.col("id") + 1).cast("string").alias("tname"))
+    """Each read with the one after it."""
+    pairs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("qname"), (F.col("doc_id") + 1).cast("string").alias("tname"))
     found = dna.intra_pairs(pairs, fx.reads(spark, sf_dir).withColumnRenamed("read_id", "header"))
     return found.withColumn("distance", F.round("distance", 9))
 
@@ -753,10 +754,12 @@ def read_mapping(spark, sf_dir):
 
 
 def _chain(spark, sf_dir):
-    """Windows of 6,000 bases, 3,000 apart, of one synthetic genome made of part names' hashes."""
-    genome = fx.table(spark, sf_dir, "part").filter("p_partkey <= 400").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.translate(F.sha2(k.cast("string"), 512), "0123456789abcdef", "ACGTACGTACGTACGT")), "").alias("g"))
+    """Windows of 6,000 bases, 3,000 apart, of a synthetic genome made of part names' hashes; 400 parts make a chromosome."""
+    bases = F.translate(F.sha2(F.col("p_partkey").cast("string"), 512), "0123456789abcdef", "ACGTACGTACGTACGT")
+    parts = fx.table(spark, sf_dir, "part").select(F.floor((F.col("p_partkey") - 1) / 400).alias("c"), F.struct("p_partkey", bases.alias("seq")).alias("x"))
+    genome = parts.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["seq"]), "").alias("g")).filter(F.length("g") >= 6000)
     starts = F.explode(F.sequence(F.lit(0), F.floor((F.length("g") - 6000) / 3000).cast("int")))
-    return genome.select("g", starts.alias("i")).select(F.format_string("r%04d", "i").alias("header"), F.expr("substring(g, i * 3000 + 1, 6000)").alias("seq"))
+    return genome.select("c", "g", starts.alias("i")).select(F.format_string("r%d.%04d", "c", "i").alias("header"), F.expr("substring(g, i * 3000 + 1, 6000)").alias("seq"))
 
 
 def _chain_layout(spark, sf_dir):
@@ -788,4 +791,4 @@ def batch_update(spark, sf_dir):
     from . import update as up
 
     reads = _chain(spark, sf_dir).withColumnRenamed("header", "read_id")
-    return up.update(up.empty(spark), reads, up.Settings(tetra=False)).mask
+    return up.update(up.empty(spark), reads).mask

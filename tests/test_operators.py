@@ -1,5 +1,8 @@
 """Hand-computed cases of the operators."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +107,31 @@ def test_cycles_do_nothing(spark):
     assert {r.cov[0] for r in co.propagate(seqs, edges).collect()} == {1.0}
 
 
+def test_coverage_against_brute_force(spark):
+    """Spans that are empty, cut, lengthened, turned round or beyond either end, base by base."""
+    rng = random.Random(3)
+    cov = {f"s{i}": [float(rng.choice([1, 1, 1, 2, 99])) for _ in range(rng.randint(1, 60))] for i in range(30)}
+    edges = []
+    for i in range(15):
+        for j in rng.sample(range(15, 30), rng.randint(1, 3)):
+            a, b = f"s{i}", f"s{j}"
+            cs, os_ = rng.randint(0, len(cov[a])), rng.randint(0, len(cov[b]))
+            edges.append((a, b, cs, rng.randint(cs, len(cov[a]) + 3), os_, rng.randint(os_, len(cov[b]) + 5), rng.randint(0, 1)))
+    shares = Counter(e[0] for e in edges)
+    want = {k: list(v) for k, v in cov.items()}
+    for a, b, cs, ce, os_, oe, rev in edges:
+        span, olen = cov[a][cs:ce], oe - os_
+        span = span[:olen] if ce - cs > olen else span + span[-1:] * (olen - ce + cs)
+        for i, x in enumerate(span[::-1] if rev else span):
+            if os_ + i < len(want[b]):
+                want[b][os_ + i] += x / shares[a]
+    pool = spark.createDataFrame([(k, v, [k]) for k, v in cov.items()], "header string, cov array<double>, atoms array<string>")
+    got = {r.header: r.cov for r in co.apply_level(pool, spark.createDataFrame(edges, EDGE)).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx([min(x, 100.0) for x in v])
+
+
 def test_coverage_is_clipped(spark):
     got = co.propagate(sequences(spark, a=[80.0], b=[70.0]), spark.createDataFrame([("a", "b", 0, 1, 0, 1, 0)], EDGE))
     assert got.filter("header = 'b'").first().cov == [100.0]
