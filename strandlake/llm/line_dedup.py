@@ -11,8 +11,8 @@ of their sets of ``SIZE``-character shingles is ``SIMILARITY`` or more; groups a
    probability 0.990, at 0.85 with 0.998, were the minima independent; what lines of different lengths really have is measured in
    the tests and given in the README.
 3. The most frequent line of a bucket leads it, and the buckets with one lead are a class. Each line of a class is compared
-   exactly with the lead. Lines that are then in another component than the lead are compared with all of the class outside their own
-   component, so no link within a bucket is lost.
+   exactly with the lead. Lines that are then in another component than the lead are compared with all lines outside their own
+   component that share a bucket of the class with them (a bit for each band tells it), so no link within a bucket is lost.
 4. Before an exact comparison two lines' bitmaps are compared: each shingle sets one of ``64 * WORDS`` bits, and a bit that one line
    has and the other hasn't stands for at least one shingle that they don't share. Where there are more such bits than the
    similarity allows, the exact one is lower, so this rules out nothing that links. Most pairs that don't link end here, at the
@@ -105,14 +105,14 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """(line_id, lead): each line with the most frequent line of each of its buckets, other than itself."""
+    """(line_id, lead, bands): each line with the most frequent line of each of its buckets, other than itself, and a bit for each band of these buckets."""
     # As many bits of the bands' hashes as keep chance agreements to about one in 4,096 rows.
     bits = min(64, 12 + max(1, math.ceil(math.log2(1 + found.count() * len(BANDS)))))
-    keys = found.select(F.explode(F.array(*[F.shiftrightunsigned(f"b{b}", 64 - bits) for b in range(len(BANDS))])).alias("key"), "line_id", "n")
+    keys = found.select(F.posexplode(F.array(*[F.shiftrightunsigned(f"b{b}", 64 - bits) for b in range(len(BANDS))])).alias("b", "key"), "line_id", "n")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     rows = written(keys.join(shared.hint("shuffle_hash"), "key"), "buckets")
     lead = rows.groupBy("key").agg(F.max(F.struct("n", "line_id")).alias("lead")).select("key", F.col("lead.line_id").alias("lead"))
-    out = written(rows.join(lead, "key").filter("line_id <> lead").select("line_id", "lead").distinct(), "classes")
+    out = written(rows.join(lead, "key").filter("line_id <> lead").groupBy("line_id", "lead").agg(F.bit_or(F.expr("shiftleft(1, b)")).alias("bands")), "classes")
     discard(rows)
     return out
 
@@ -201,12 +201,12 @@ def nearby(placed: DataFrame, similarity: float, turn: int | None = None) -> Dat
     if turn is not None:
         place = F.row_number().over(W.partitionBy("lead").orderBy(F.xxhash64("line_id", F.lit(turn)), "line_id"))
         others = placed.withColumn("place", place).filter(F.col("place") <= SOME).drop("place")
-    left = left.join(small(sizes), "lead").select("lead", F.pmod(F.hash("line_id"), F.col("parts")).alias("part"), F.col("line_id").alias("u"), F.col("own").alias("u_own"), *side("u", FOLDED))
+    left = left.join(small(sizes), "lead").select("lead", F.pmod(F.hash("line_id"), F.col("parts")).alias("part"), F.col("line_id").alias("u"), F.col("own").alias("u_own"), F.col("bands").alias("u_bands"), *side("u", FOLDED))
     others = others.join(small(sizes), "lead").select(
-        F.col("lead").alias("lead_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.col("left").alias("v_left"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part_"), *side("v", FOLDED)
+        F.col("lead").alias("lead_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.col("left").alias("v_left"), F.col("bands").alias("v_bands"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part_"), *side("v", FOLDED)
     )
-    # A pair of two lines left over is taken once, where both would find it.
-    once = F.col("u_own") != F.col("v_own")
+    # Only lines that share a bucket are compared. A pair of two lines left over is taken once, where both would find it.
+    once = (F.col("u_own") != F.col("v_own")) & (F.col("u_bands").bitwiseAND(F.col("v_bands")) != 0)
     if turn is None:
         once &= ~F.col("v_left") | (F.col("u") < F.col("v"))
     return left.join(others, (left["lead"] == others["lead_"]) & (left["part"] == others["part_"]) & once & near(similarity, FOLDED)).select("u", "v").distinct()
