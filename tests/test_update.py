@@ -80,4 +80,6 @@ def test_dumps(spark, tmp_path):
     assert live.cumulative_dump(spark, f"{tmp_path}/d", "control", 0).count() == 1
     assert live.cumulative_dump(spark, f"{tmp_path}/d", "control", 1).count() == 2
     assert live.by_condition(spark.createDataFrame([(1,), (2,)], "channel int"), spark.createDataFrame([(1, "run")], "channel int, condition string")).filter(F.col("condition") == "run").count() == 1
-    assert fastq.sample_with_replacement(spark.range(10), 0.5, 1).count() >= 0
+    drawn = [r.id for r in fastq.sample_with_replacement(spark.range(1000), 0.5, 1).collect()]
+    assert 400 < len(drawn) < 600 and len(set(drawn)) < len(drawn)
+    assert sorted(drawn) == sorted(r.id for r in fastq.sample_with_replacement(spark.range(1000), 0.5, 1).collect())
