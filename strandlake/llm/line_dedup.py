@@ -16,7 +16,7 @@ of their sets of ``SIZE``-character shingles is ``SIMILARITY`` or more; groups a
 4. Before an exact comparison two lines' bitmaps are compared: each shingle sets one of ``64 * WORDS`` bits, and a bit that one line
    has and the other hasn't stands for at least one shingle that they don't share. Where there are more such bits than the
    similarity allows, the exact one is lower, so this rules out nothing that links. Most pairs that don't link end here, at the
-   price of some bit counts within the join.
+   price of some bit counts within the join. Lines left over bring their sets to that join, and the others end there.
 5. Where classes could give more pairs than ``SPARSE`` times the lines left over, as very large groups of near copies do, these lines are first
    compared with ``SOME`` lines of their class only, others each time, while that halves them; what is left is compared in whole.
 6. Components are found by star contraction, and the lines that stay are joined back to their texts.
@@ -47,15 +47,14 @@ COLUMNS = 4
 BANDS = tuple(tuple(COLUMNS * r + c for c in range(COLUMNS)) for r in range(ROWS)) + tuple(tuple(COLUMNS * ((c + s) % ROWS) + c for c in range(COLUMNS)) for s in range(ROWS))
 #: Shingles that a row holds while minima are taken; fewer rows are summed then.
 STEP = 8
-#: 64-bit words of a line's bitmap, and of that which is part of a join.
+#: 64-bit words of a line's bitmap.
 WORDS = 32
-FOLDED = 16
 #: Pairs in classes, as a multiple of the lines left over, up to which they are compared at once.
 SPARSE = 64
 #: Lines of a class that those left over are compared with before all others.
 SOME = 8
-#: Lines left over that a part of a class holds at most.
-PART = 4096
+#: Lines that a part of a class has on average at most.
+PART = 2048
 #: Most rows of ids or pairs of ids that are broadcast; more are joined by shuffling.
 BROADCAST = 300_000
 
@@ -146,29 +145,23 @@ def bitmaps(texts: DataFrame, step: int = 4) -> DataFrame:
     return placed.groupBy("line_id", (F.col("last") + 1).alias("size")).agg(*words)
 
 
-def folded(words: int = FOLDED) -> list[Column]:
-    """The bitmap in so many words, and never null."""
-    parts = [[F.coalesce(f"z{i}", F.lit(0).cast("long")) for i in range(w, WORDS, words)] for w in range(words)]
-    return [reduce(lambda x, y: x.bitwiseOR(y), p).alias(f"z{w}") for w, p in enumerate(parts)]
+def side(name: str) -> list[Column]:
+    """Size and bitmap, never null, as those of a pair's ``name``."""
+    return [F.coalesce("size", F.lit(0)).alias(f"{name}_size"), *[F.coalesce(f"z{w}", F.lit(0).cast("long")).alias(f"{name}_z{w}") for w in range(WORDS)]]
 
 
-def side(name: str, words: int) -> list[Column]:
-    """Size and bitmap as those of a pair's ``name``."""
-    return [F.coalesce("size", F.lit(0)).alias(f"{name}_size"), *[F.coalesce(f"z{w}", F.lit(0).cast("long")).alias(f"{name}_z{w}") for w in range(words)]]
-
-
-def near(similarity: float, words: int = WORDS) -> Column:
+def near(similarity: float) -> Column:
     """False only where the bitmaps of u and v differ in more bits than those of lines as similar as that can."""
     total = F.lit(0)
-    for w in range(words):
+    for w in range(WORDS):
         total = total + F.bit_count(F.col(f"u_z{w}").bitwiseXOR(F.col(f"v_z{w}")))
     return (1 + similarity) * total <= (1 - similarity) * (F.col("u_size") + F.col("v_size")) + 1e-6
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Those of the written ``pairs(u, v)`` whose lines are as similar as that. Sets are made only where the bitmaps allow it."""
-    left = lines.select(F.col("line_id").alias("u"), F.col("line").alias("x"), *side("u", WORDS))
-    right = lines.select(F.col("line_id").alias("v"), F.col("line").alias("y"), *side("v", WORDS))
+    left = lines.select(F.col("line_id").alias("u"), F.col("line").alias("x"), *side("u"))
+    right = lines.select(F.col("line_id").alias("v"), F.col("line").alias("y"), *side("v"))
     met = left.join(small(pairs), "u").join(right, "v").filter(near(similarity)).select("u", "v", "x", "y")
     # Each step's arrays are used more than once by the next, so they are computed once.
     sets = met.select("u", "v", F.array_distinct(shingles("x")).alias("a"), F.array_distinct(shingles("y")).alias("b"))
@@ -176,40 +169,55 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     return sized.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
-def left_over(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, int, int]:
-    """``members`` with their components and whether that isn't their lead's; how many such lines there are and how many pairs at most."""
+def left_over(stars: DataFrame, groups: DataFrame) -> tuple[DataFrame, int, int]:
+    """``stars`` with their components and whether that isn't their lead's; how many such lines there are and how many pairs at most."""
     own = groups.select(F.col("node").alias("line_id"), F.col("component").alias("own"))
     main = groups.select(F.col("node").alias("lead"), F.col("component").alias("main"))
     few = groups.count() <= BROADCAST
     own, main = (F.broadcast(own), F.broadcast(main)) if few else (own, main)
-    placed = members.join(own, "line_id", "left").join(main, "lead", "left").withColumn("own", F.coalesce("own", "line_id"))
+    placed = stars.join(own, "line_id", "left").join(main, "lead", "left").withColumn("own", F.coalesce("own", "line_id"))
     placed = written(placed.withColumn("left", F.col("own") != F.coalesce("main", "lead")).drop("main"), "placed")
     sizes = placed.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("left").cast("long")).alias("lefts"))
     lefts, pairs = sizes.agg(F.coalesce(F.sum("lefts"), F.lit(0)), F.coalesce(F.sum(F.col("lefts").cast("double") * F.col("n")), F.lit(0.0))).first()
     return placed, int(lefts), int(pairs)
 
 
-def nearby(placed: DataFrame, similarity: float, turn: int | None = None) -> DataFrame:
-    """(u, v): lines left over with lines of their class in other components, where the folded bitmaps allow a link.
+def nearby(placed: DataFrame, lines: DataFrame, similarity: float, turn: int | None = None) -> DataFrame:
+    """(u, v): lines left over that link with lines of their class in other components.
 
-    Classes with very many lines left over are dealt out in parts of these. With a ``turn`` only ``SOME`` lines of each class are
-    compared with, others in each turn.
+    The sets are sent to where the lines meet, so a pair that doesn't link is never a row. A class is dealt out as a grid of parts of
+    the lines left over and of the lines that they are compared with. With a ``turn`` only ``SOME`` lines of each class are compared
+    with, others in each turn.
     """
-    left = placed.filter("left")
-    sizes = written(left.groupBy("lead").agg(F.count("*").alias("lefts")).select("lead", F.ceil(F.col("lefts") / PART).cast("int").alias("parts")), "sizes")
-    others = placed
+    left, others = placed.filter("left"), placed
     if turn is not None:
         place = F.row_number().over(W.partitionBy("lead").orderBy(F.xxhash64("line_id", F.lit(turn)), "line_id"))
         others = placed.withColumn("place", place).filter(F.col("place") <= SOME).drop("place")
-    left = left.join(small(sizes), "lead").select("lead", F.pmod(F.hash("line_id"), F.col("parts")).alias("part"), F.col("line_id").alias("u"), F.col("own").alias("u_own"), F.col("bands").alias("u_bands"), *side("u", FOLDED))
-    others = others.join(small(sizes), "lead").select(
-        F.col("lead").alias("lead_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"), F.col("left").alias("v_left"), F.col("bands").alias("v_bands"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part_"), *side("v", FOLDED)
-    )
+    count = others.groupBy("lead").agg(F.count("*").alias("n"))
+    sizes = left.groupBy("lead").agg(F.count("*").alias("lefts")).join(count, "lead")
+    sizes = written(sizes.select("lead", *[F.ceil(F.col(c) / PART).cast("int").alias(p) for c, p in (("lefts", "rows"), ("n", "columns"))]), "sizes")
+    grid = small(sizes)
+    needed = others.join(grid, "lead", "left_semi").select("line_id").unionByName(left.select("line_id")).distinct()
+    sets = written(lines.join(needed.hint("shuffle_hash"), "line_id", "left_semi").withColumn("line", F.array_distinct(shingles("line"))).withColumnRenamed("line", "set"), "sets")
+    left, others = (x.join(grid, "lead").join(sets, "line_id").withColumn("at", F.pmod(F.hash("line_id"), F.col(n))) for x, n in ((left, "rows"), (others, "columns")))
+    left = left.select("lead", F.col("at").alias("row"), F.explode(F.expr("sequence(0, columns - 1)")).alias("column"), F.col("line_id").alias("u"), F.col("own").alias("u_own"), F.col("bands").alias("u_bands"), F.col("set").alias("a"), *side("u"))
+    others = others.select(
+        F.col("lead").alias("lead_"), F.explode(F.expr("sequence(0, rows - 1)")).alias("row_"), F.col("at").alias("column_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"),
+        F.col("left").alias("v_left"), F.col("bands").alias("v_bands"), F.col("set").alias("b"), *side("v"),
+    )
     # Only lines that share a bucket are compared. A pair of two lines left over is taken once, where both would find it.
     once = (F.col("u_own") != F.col("v_own")) & (F.col("u_bands").bitwiseAND(F.col("v_bands")) != 0)
     if turn is None:
         once &= ~F.col("v_left") | (F.col("u") < F.col("v"))
-    return left.join(others, (left["lead"] == others["lead_"]) & (left["part"] == others["part_"]) & once & near(similarity, FOLDED)).select("u", "v").distinct()
+    met = (left["lead"] == others["lead_"]) & (left["row"] == others["row_"]) & (left["column"] == others["column_"])
+    # |a & b| >= s |a | b| is (1 + s) |a & b| >= s (|a| + |b|), so the sets are intersected once; the cheap tests come first.
+    total = similarity * (F.size("a") + F.size("b")) - 1e-6
+    enough = (1 + similarity) * F.least(F.size("a"), F.size("b")) >= total
+    alike = enough & ((1 + similarity) * F.size(F.array_intersect("a", "b")) >= total)
+    # Cells cost pairs, not bytes, so they aren't gathered into fewer tasks by size.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, others = left.repartition(tasks, "lead", "row", "column"), others.repartition(tasks, "lead_", "row_", "column_")
+    return left.join(others, met & once & near(similarity) & alike).select("u", "v").distinct()
 
 
 def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -222,28 +230,25 @@ def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY
     links = []
 
     def join(pairs: DataFrame) -> bool:
-        """Adds those of ``pairs`` that link; whether there are any."""
-        pairs = written(pairs, "pairs")
-        links.append(written(verified(pairs, lines, similarity), "links"))
-        discard(pairs)
+        """Adds ``pairs`` to the links; whether there are any."""
+        links.append(written(pairs, "links"))
         return not links[-1].isEmpty()
 
     def joined() -> DataFrame:
         return written(components(reduce(DataFrame.unionByName, links)), "groups")
 
-    join(stars.select(F.col("line_id").alias("u"), F.col("lead").alias("v")))
-    members = written(lines.select("line_id", "size", *folded()).join(small(stars), "line_id"), "members")
+    join(verified(stars.select(F.col("line_id").alias("u"), F.col("lead").alias("v")), lines, similarity))
     groups, turn = joined(), 0
-    placed, lefts, pairs = left_over(members, groups)
+    placed, lefts, pairs = left_over(stars, groups)
     before = 2 * lefts
-    while pairs > SPARSE * max(1, lefts) and 2 * lefts <= before and join(nearby(placed, similarity, turn)):
+    while pairs > SPARSE * max(1, lefts) and 2 * lefts <= before and join(nearby(placed, lines, similarity, turn)):
         discard(groups, placed)
         groups, turn, before = joined(), turn + 1, lefts
-        placed, lefts, pairs = left_over(members, groups)
-    if lefts and join(nearby(placed, similarity)):
+        placed, lefts, pairs = left_over(stars, groups)
+    if lefts and join(nearby(placed, lines, similarity)):
         discard(groups)
         groups = joined()
-    discard(stars, members, lines, placed, *links)
+    discard(stars, lines, placed, *links)
     return groups
 
 
