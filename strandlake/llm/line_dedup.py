@@ -197,27 +197,35 @@ def nearby(placed: DataFrame, lines: DataFrame, similarity: float, turn: int | N
     sizes = left.groupBy("lead").agg(F.count("*").alias("lefts")).join(count, "lead")
     sizes = written(sizes.select("lead", *[F.ceil(F.col(c) / PART).cast("int").alias(p) for c, p in (("lefts", "rows"), ("n", "columns"))]), "sizes")
     grid = small(sizes)
-    needed = others.join(grid, "lead", "left_semi").select("line_id").unionByName(left.select("line_id")).distinct()
-    sets = written(lines.join(needed.hint("shuffle_hash"), "line_id", "left_semi").withColumn("line", F.array_distinct(shingles("line"))).withColumnRenamed("line", "set"), "sets")
-    left, others = (x.join(grid, "lead").join(sets, "line_id").withColumn("at", F.pmod(F.hash("line_id"), F.col(n))) for x, n in ((left, "rows"), (others, "columns")))
-    left = left.select("lead", F.col("at").alias("row"), F.explode(F.expr("sequence(0, columns - 1)")).alias("column"), F.col("line_id").alias("u"), F.col("own").alias("u_own"), F.col("bands").alias("u_bands"), F.col("set").alias("a"), *side("u"))
-    others = others.select(
-        F.col("lead").alias("lead_"), F.explode(F.expr("sequence(0, rows - 1)")).alias("row_"), F.col("at").alias("column_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"),
-        F.col("left").alias("v_left"), F.col("bands").alias("v_bands"), F.col("set").alias("b"), *side("v"),
-    )
     # Only lines that share a bucket are compared. A pair of two lines left over is taken once, where both would find it.
     once = (F.col("u_own") != F.col("v_own")) & (F.col("u_bands").bitwiseAND(F.col("v_bands")) != 0)
     if turn is None:
         once &= ~F.col("v_left") | (F.col("u") < F.col("v"))
-    met = (left["lead"] == others["lead_"]) & (left["row"] == others["row_"]) & (left["column"] == others["column_"])
+    met = (F.col("lead") == F.col("lead_")) & (F.col("row") == F.col("row_")) & (F.col("column") == F.col("column_")) & once & near(similarity)
+    # Cells cost pairs, not bytes, so they aren't gathered into fewer tasks by size.
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sides(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The two sides of the grid, with the bitmaps and sets of ``known``, and without lines that aren't there."""
+        u, v = ([F.col("set").alias(x)] if "set" in known.columns else [] for x in "ab")
+        one, two = (x.join(grid, "lead").join(known, "line_id").withColumn("at", F.pmod(F.hash("line_id"), F.col(n))) for x, n in ((left, "rows"), (others, "columns")))
+        one = one.select("lead", F.col("at").alias("row"), F.explode(F.expr("sequence(0, columns - 1)")).alias("column"), F.col("line_id").alias("u"), F.col("own").alias("u_own"), F.col("bands").alias("u_bands"), *u, *side("u"))
+        two = two.select(
+            F.col("lead").alias("lead_"), F.explode(F.expr("sequence(0, rows - 1)")).alias("row_"), F.col("at").alias("column_"), F.col("line_id").alias("v"), F.col("own").alias("v_own"),
+            F.col("left").alias("v_left"), F.col("bands").alias("v_bands"), *v, *side("v"),
+        )
+        return one.repartition(tasks, "lead", "row", "column"), two.repartition(tasks, "lead_", "row_", "column_")
+
+    # Sets are made of lines only that the bitmaps let meet another line.
+    one, two = sides(lines.drop("line"))
+    able = one.join(two, met, "left_semi").select(F.col("u").alias("line_id")).unionByName(two.join(one, met, "left_semi").select(F.col("v").alias("line_id")))
+    able = written(able.distinct(), "able")
+    sets = written(lines.join(small(able), "line_id", "left_semi").withColumn("line", F.array_distinct(shingles("line"))).withColumnRenamed("line", "set"), "sets")
     # |a & b| >= s |a | b| is (1 + s) |a & b| >= s (|a| + |b|), so the sets are intersected once; the cheap tests come first.
     total = similarity * (F.size("a") + F.size("b")) - 1e-6
-    enough = (1 + similarity) * F.least(F.size("a"), F.size("b")) >= total
-    alike = enough & ((1 + similarity) * F.size(F.array_intersect("a", "b")) >= total)
-    # Cells cost pairs, not bytes, so they aren't gathered into fewer tasks by size.
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, others = left.repartition(tasks, "lead", "row", "column"), others.repartition(tasks, "lead_", "row_", "column_")
-    return left.join(others, met & once & near(similarity) & alike).select("u", "v").distinct()
+    alike = ((1 + similarity) * F.least(F.size("a"), F.size("b")) >= total) & ((1 + similarity) * F.size(F.array_intersect("a", "b")) >= total)
+    one, two = sides(sets)
+    return one.join(two, met & alike).select("u", "v").distinct()
 
 
 def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
