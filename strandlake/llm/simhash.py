@@ -14,11 +14,14 @@ the anchor next to the one is then within reach of the other, so the pair meets
 
 Candidates are compared in two steps. At each anchor the edges of a spanning forest of the candidates come first; what these
 connect needs no other comparison, so a large group of copies costs about as many as it has members. Only the anchors where a
-forest edge fails are gone through again, for all their candidates between groups that are still apart.
+forest edge fails are gone through again, and there only the tree with that edge, for all its candidates between groups that
+are still apart.
 
 Fingerprints are compared once for all documents that share them. At an anchor they are compared
-by exclusive or and bit count, in blocks; out go only edges of a spanning forest, never all pairs. A large
-anchor is dealt out as pairs of parts of bounded size, so no task holds a whole one.
+by exclusive or and bit count, in tiles; out go only edges of a spanning forest, never all pairs. Sets whose sizes differ by more
+than the similarity allows can't be similar, so an anchor's members stand by size and meet only those within that ratio. A very large
+anchor is dealt out as pairs of parts of bounded size, so no task holds a whole one; a part is large, as every member is sent to as
+many cells as its anchor has parts. Anchors are counted in a pass of their own, so that members are never written before they are dealt out.
 
 Edge cases: null texts count as empty; documents without words have fingerprint zero and link like any
 other; a null doc_id keeps its row, and its component is the least doc_id of the group that isn't null; repeated rows
@@ -39,12 +42,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import require, table, written
+from .common import reclaim, require, table, written
 from .components import components
 
 SEED = 42
-#: Most fingerprints in one part of an anchor.
-PART = 2048
+#: Most fingerprints in one part of an anchor, on average; a cell holds two parts.
+PART = 1 << 16
+#: Rows and columns of the tiles in which a cell is compared.
+TILE = (512, 8192)
 
 
 @dataclass(frozen=True)
@@ -121,19 +126,20 @@ def set_name(hashes: np.ndarray) -> int:
 
 
 def set_fingerprints(docs: DataFrame, size: int, key: str, words: int) -> DataFrame:
-    """(key, fp, words) of every text: ``fp`` names its set of shingles, ``words`` is the fingerprint of the set."""
+    """(key, fp, words, n) of every text: ``fp`` names its set of shingles, ``words`` is the fingerprint of the set, ``n`` its size."""
     require(docs, key, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            names, found = [], []
+            names, found, sizes = [], [], []
             for t in texts:
                 parts = {xxhash.xxh64_intdigest(p, SEED): p for p in shingles(t, size)}
                 names.append(set_name(np.array(sorted(parts), dtype="<u8")))
                 found.append(np.array(majority(list(parts.values()), words), dtype="<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(names, pa.int64()), pa.array(found, pa.binary())], [key, "fp", "words"])
+                sizes.append(len(parts))
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(names, pa.int64()), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], [key, "fp", "words", "n"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long, words binary")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long, words binary, n long")
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -182,10 +188,36 @@ def matrix(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words)
 
 
-def forest(left: np.ndarray, right: np.ndarray, distance: int, rows: int = 512) -> tuple[list[int], list[int]]:
-    """Edges (positions in left, in right) of a spanning forest of all links between the two; equal arrays: within one."""
-    same, n = left is right, len(left)
-    parent = list(range(n if same else n + len(right)))
+def tiles(left: np.ndarray, right: np.ndarray, distance: int, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions in left, in right) within the distance, tile by tile; equal arrays: each pair once.
+
+    Row i of ``left`` is compared with rows ``low[i]`` to ``high[i]`` (exclusive) of ``right`` only; both bounds never fall.
+    """
+    rows, columns = TILE
+    for top in range(0, len(left), rows):
+        end = min(top + rows, len(left))
+        for at in range(max(int(low[top]), top if left is right else 0), int(high[end - 1]), columns):
+            stop = min(at + columns, int(high[end - 1]))
+            a, b = np.nonzero(differing(left[top:end], right[at:stop]) <= distance)
+            a, b = a + top, b + at
+            keep = (low[a] <= b) & (b < high[a])
+            if left is right:
+                keep &= a < b
+            yield a[keep], b[keep]
+
+
+def reach(left: np.ndarray, right: np.ndarray, similarity: Fraction | None) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds in ``right``, sizes in order, of the sets that can be as similar as that to each in ``left``, sizes in order."""
+    if similarity is None:
+        return np.zeros(len(left), np.int64), np.full(len(left), len(right))
+    least = -(-left * similarity.numerator // similarity.denominator)
+    return np.searchsorted(right, least), np.searchsorted(right, left * similarity.denominator // similarity.numerator, "right")
+
+
+def forest(left: np.ndarray, right: np.ndarray, distance: int, low: np.ndarray, high: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Edges (positions in left, in right, a mark of their tree) of a spanning forest of all links between the two; equal arrays: within one."""
+    shift = 0 if left is right else len(left)
+    parent = list(range(len(left) if left is right else len(left) + len(right)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -194,36 +226,42 @@ def forest(left: np.ndarray, right: np.ndarray, distance: int, rows: int = 512)
         return x
 
     us, vs = [], []
-    for low in range(0, n, rows):
-        a, b = np.nonzero(differing(left[low : low + rows], right) <= distance)
-        a = a + low
-        if same:
-            keep = a < b
-            a, b = a[keep], b[keep]
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = find(x), find(y if same else n + y)
+    known = np.arange(len(parent))
+    for a, b in tiles(left, right, distance, low, high):
+        # Most pairs of a large group are in one tree by an earlier tile already.
+        new = known[a] != known[b + shift]
+        before = len(us)
+        for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
+            p, q = find(x), find(y + shift)
             if p != q:
                 parent[max(p, q)] = min(p, q)
                 us.append(x)
                 vs.append(y)
-    return us, vs
+        if len(us) > before and new.sum() > 4096:
+            known = np.array([find(x) for x in range(len(parent))])
+    return us, vs, [find(x) for x in us]
 
 
-def candidates(left: np.ndarray, right: np.ndarray, distance: int, left_groups: np.ndarray, right_groups: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def candidates(left: np.ndarray, right: np.ndarray, distance: int, low: np.ndarray, high: np.ndarray, left_groups: np.ndarray, right_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (positions in left, in right) within the distance whose groups differ; equal arrays: within one."""
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for low in range(0, len(left), rows):
-        near = differing(left[low : low + rows], right) <= distance
-        a, b = np.nonzero(near & (left_groups[low : low + rows, None] != right_groups[None, :]))
-        a = a + low
-        keep = a < b if left is right else np.ones(len(a), bool)
+    for a, b in tiles(left, right, distance, low, high):
+        keep = left_groups[a] != right_groups[b]
         us.append(a[keep])
         vs.append(b[keep])
     return np.concatenate(us), np.concatenate(vs)
 
 
 def place(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """(anchor, a, b, part, fp, words): ``fps(fp, words)`` (distinct) at their anchors, each anchor as pairs (a, b) of its parts."""
+    """(anchor, a, b, part, fp, words, n): the written table ``fps(fp, words, n)`` (distinct) at its anchors, each anchor as pairs (a, b) of its parts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(scheme.blocks) << scheme.k, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                total += np.bincount(replicas(matrix(batch.column("words").slice(at, 2048), scheme.words), scheme)[1], minlength=len(total))
+        some = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["anchor", "n"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,45 +269,55 @@ def place(fps: DataFrame, scheme: Scheme) -> DataFrame:
                 part = batch.slice(at, 2048)
                 row, anchor = replicas(matrix(part.column("words"), scheme.words), scheme)
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column("fp").take(row), part.column("words").take(row)], ["anchor", "fp", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *(part.column(c).take(row) for c in ("fp", "words", "n"))], ["anchor", "fp", "words", "n"])
 
-    placed = written(fps.select("fp", "words").mapInArrow(replicate, "anchor long, fp long, words binary"), "anchors")
+    counts = fps.select("words").mapInArrow(count, "anchor long, n long")
+    placed = fps.select("fp", "words", "n").mapInArrow(replicate, "anchor long, fp long, words binary, n long")
     # Anchors with more than PART members are dealt out as pairs of parts. There are as many anchors as blocks times code words:
     # 12,288 or 24,576, so their sizes may be broadcast.
-    sizes = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    sizes = counts.groupBy("anchor").agg(F.sum("n").alias("members")).filter("members > 1").select("anchor", F.ceil(F.col("members") / PART).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = placed.join(F.broadcast(sizes), "anchor").withColumn("part", part)
     other = F.explode(F.expr("sequence(0, parts - 1)"))
-    return dealt.withColumn("other", other).select("anchor", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "words")
+    return dealt.withColumn("other", other).select("anchor", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "words", "n")
 
 
 CELL = ["anchor", "a", "b"]
 
 
-def compared(dealt: DataFrame, scheme: Scheme, find: Callable) -> DataFrame:
-    """(anchor, a, b, u, v): the pairs that ``find(left, right, left_groups, right_groups)`` gives in each cell of ``dealt``, with or without a group."""
+def compared(dealt: DataFrame, scheme: Scheme, keys: list[str]) -> DataFrame:
+    """(anchor, a, b, tree, u, v): of each cell of ``dealt`` the edges of a spanning forest of its candidates; with a column ``group``,
+    all candidates between different groups."""
+    everything = "group" in dealt.columns
 
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
-        # In order of fp, so that cells with the same members give the same pairs.
-        group = group.sort_by("fp")
-        fp, part, bits = group.column("fp").to_numpy(), group.column("part").to_numpy(), matrix(group.column("words"), scheme.words)
-        groups = group.column("group").to_numpy() if "group" in group.column_names else fp
+    def compare(key: tuple, cell: pa.Table) -> pa.Table:
+        # In order of size and fp, so that cells with the same members give the same pairs.
+        cell = cell.sort_by([("n", "ascending"), ("fp", "ascending")])
+        fp, n, part = (cell.column(c).to_numpy() for c in ("fp", "n", "part"))
+        bits = matrix(cell.column("words"), scheme.words)
+        groups = cell.column("group").to_numpy() if everything else fp
         if key[1].as_py() == key[2].as_py():
             left = right = np.arange(len(fp))
-            us, vs = find(bits, bits, groups, groups)
+            x = y = bits
         else:
             left, right = np.nonzero(part == key[1].as_py())[0], np.nonzero(part != key[1].as_py())[0]
-            us, vs = find(bits[left], bits[right], groups[left], groups[right])
+            x, y = bits[left], bits[right]
+        bounds = reach(n[left], n[right], scheme.similarity)
+        if everything:
+            us, vs = candidates(x, y, scheme.distance, *bounds, groups[left], groups[right])
+            trees = np.zeros(len(us), np.int64)
+        else:
+            us, vs, trees = forest(x, y, scheme.distance, *bounds)
         u, v = fp[left[us]], fp[right[vs]]
-        cell = [pa.array(np.full(len(u), k.as_py()), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-        return pa.table([*cell, pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=[*CELL, "u", "v"])
+        named = [pa.array(np.full(len(u), k.as_py()), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=False)]
+        return pa.table([*named, pa.array(trees, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=[*CELL, "tree", "u", "v"])
 
-    return dealt.groupBy(*CELL).applyInArrow(compare, "anchor long, a int, b int, u long, v long")
+    return dealt.groupBy(*keys).applyInArrow(compare, "anchor long, a int, b int, tree long, u long, v long")
 
 
 def links(fps: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """(u, v): fingerprints of ``fps(fp, words)`` (distinct) that link, enough of them to connect what all links that are found connect."""
-    return compared(place(fps, scheme), scheme, lambda x, y, *_: forest(x, y, scheme.distance)).select("u", "v")
+    """(u, v): fingerprints of the written table ``fps(fp, words, n)`` (distinct) that link, enough of them to connect what all links that are found connect."""
+    return compared(place(fps, scheme), scheme, CELL).select("u", "v")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
@@ -286,29 +334,35 @@ def similar(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], size: i
     ``texts`` gives (fp, text) of the classes it is given by ``fp``.
     """
     pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    dealt = place(classes, scheme)
-    first = written(compared(dealt, scheme, lambda x, y, *_: forest(x, y, scheme.distance)), "forest")
+    first = written(compared(place(classes, scheme), scheme, CELL), "forest")
+    reclaim(classes.sparkSession)
     # Whatever is a candidate at an anchor is in its forest, so no other sets are needed later.
     named = first.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     sets = written(shingle_sets(texts(named), size), "sets")
     edges = written(alike(first.select(*pair).distinct(), sets, scheme.similarity), "edges")
     groups = written(components(edges).select(F.col("node").alias("fp"), F.col("component").alias("group")), "groups")
+    # An edge that failed is between two groups. All candidates of a cell are within trees, so only a tree with such an edge has others that can join groups.
     ends = [groups.select(F.col("fp").alias(c), F.col("group").alias(f"{c}g")) for c in "uv"]
-    apart = first.join(ends[0], "u", "left").join(ends[1], "v", "left").filter(F.coalesce("ug", "u") != F.coalesce("vg", "v"))
-    apart = written(apart.select(*CELL).distinct(), "apart")
-    again = dealt.join(apart, CELL, "left_semi").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    rest = compared(again, scheme, lambda x, y, p, q: candidates(x, y, scheme.distance, p, q)).select(*pair).distinct()
+    marked = first.join(ends[0], "u", "left").join(ends[1], "v", "left").withColumn("apart", F.coalesce("ug", "u") != F.coalesce("vg", "v"))
+    tree = [*CELL, "tree"]
+    trees = marked.groupBy(*tree).agg(F.max("apart").alias("apart"), F.collect_set(F.struct(F.col("u").alias("fp"), F.col("a").alias("part"))).alias("us"), F.collect_set(F.struct(F.col("v").alias("fp"), F.col("b").alias("part"))).alias("vs"))
+    # A tree of two has no other candidates than its edge.
+    members = F.array_union("us", "vs")
+    again = written(trees.filter("apart").select(*tree, members.alias("members")).filter("size(members) > 2").select(*tree, F.explode("members").alias("m")).select(*tree, "m.*"), "again")
+    again = again.join(classes.select("fp", "words", "n"), "fp").join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    rest = compared(again, scheme, tree).select(*pair).distinct()
     # Forest edges that failed are not compared again.
     rest = written(rest.join(first.select(*pair).distinct(), ["u", "v"], "left_anti"), "rest")
     return edges.unionByName(alike(rest, sets, scheme.similarity))
 
 
 def grouped(prints: DataFrame, scheme: Scheme = EXACT, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(fp, component) of each fingerprint in the written table ``prints(fp, words)``; component is the group's least fp.
+    """(fp, component) of each fingerprint in the written table ``prints(fp, words)``, with ``n`` if the scheme has a similarity; component is the group's least fp.
 
     ``linked`` gives the links of the distinct fingerprints; without it, those within the scheme's distance are.
     """
-    classes = written(prints.groupBy("fp", "words").agg(F.count("*").alias("n")), "classes")
+    size = F.first("n") if scheme.similarity else F.lit(0).cast("long")
+    classes = written(prints.groupBy("fp", "words").agg(size.alias("n")), "classes")
     found = components(written(linked(classes) if linked else links(classes, scheme), "links"))
     return classes.select("fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
@@ -332,7 +386,7 @@ def dedupe(docs: DataFrame, size: int = 5, scheme: Scheme = WIDE) -> DataFrame:
     row = F.xxhash64("doc_id", "text")
     named = docs.select(F.struct("doc_id", row.alias("at")).alias("row"), "text")
     made = set_fingerprints if scheme.similarity else fingerprints
-    prints = written(made(named, size, "row", scheme.words).select("row.*", "fp", "words"), "fingerprints")
+    prints = written(made(named, size, "row", scheme.words).select("row.*", "fp", "words", *(["n"] if scheme.similarity else [])), "fingerprints")
 
     def texts(fps: DataFrame) -> DataFrame:
         one = prints.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("at").alias("at"))

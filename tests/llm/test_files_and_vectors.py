@@ -1,6 +1,7 @@
 """WARC archives and vectors against brute force, and the registered queries on the smallest data."""
 
 import hashlib
+import os
 import time
 from collections import Counter
 
@@ -165,3 +166,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in kept.select("doc_id").collect()}
     assert all(r.n_chars == len(r.text) for r in kept.select("text", "n_chars").collect())
     assert kept.filter(F.col("text").rlike(r"AKIA[A-Z0-9]{16}")).count() == 0
+
+
+def test_stages_delete_what_the_one_before_left(spark, tmp_path):
+    """The tables behind a written result go when the next stage begins; those that its documents still read stay."""
+    import corpus_pipeline
+    from strandlake.llm.common import fresh_path
+
+    left = lambda: {p.rsplit("-", 1)[0].rsplit("/", 1)[-1] for p in corpus_pipeline._MADE[spark.sparkContext.applicationId] if os.path.exists(p.removeprefix("file://"))}
+    data = spark.read.parquet(f"{SF}/documents.parquet")
+    lazy = corpus_pipeline.keep_quality(spark, data, SF)
+    path = fresh_path(spark, "kept")
+    lazy.write.parquet(path)
+    assert "measured" in left()
+    corpus_pipeline.redact_secrets(spark, lazy, SF)
+    assert "measured" in left()
+    corpus_pipeline.redact_secrets(spark, spark.read.parquet(path), SF)
+    assert "measured" not in left()

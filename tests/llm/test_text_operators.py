@@ -255,6 +255,24 @@ def test_hamming_code_covers():
     assert max(np.bitwise_count(points[i : i + 512, None] ^ code[None, :]).min(axis=1).max() for i in range(0, 1 << 15, 512)) == 1
 
 
+def test_a_large_anchor_is_sent_once(spark):
+    """3,000 fingerprints at the same anchors are one cell at each; when parts held 2,048, each was sent twice."""
+    words = np.array([5, 6, 7], dtype="<u8").tobytes()
+    fps = spark.createDataFrame([(i, words, 10) for i in range(3000)], "fp long, words binary, n long")
+    one = len(simhash.replicas(np.frombuffer(words, dtype="<u8").reshape(1, 3), simhash.WIDE)[1])
+    assert simhash.place(fps, simhash.WIDE).count() == 3000 * one
+
+
+def test_only_sets_of_like_sizes_meet():
+    rng = np.random.default_rng(4)
+    n = np.sort(rng.integers(0, 60, 500))
+    for similarity in (simhash.WIDE.similarity, None):
+        low, high = simhash.reach(n, n, similarity)
+        same = np.zeros((500, 1), dtype=np.uint64)
+        met = {(int(x), int(y)) for a, b in simhash.tiles(same, same, 0, low, high) for x, y in zip(a, b, strict=True)}
+        assert met == {(x, y) for x in range(500) for y in range(x + 1, 500) if similarity is None or 5 * n[x] >= 4 * n[y]}
+
+
 def test_dedupe_by_similarity(spark):
     """Copies of similarity 0.85 and more go, texts of 0.4 and less stay."""
     rng = random.Random(12)
