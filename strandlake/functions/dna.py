@@ -87,13 +87,17 @@ def expected_tetramers(sequences: DataFrame) -> DataFrame:
 
 
 def tetramer_distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two count arrays over the k-mers that both have, each a share of its sum there."""
+    """Euclidean distance of two count arrays over the k-mers that both have, each a share of its sum there.
+
+    Counts that are all zero there have no shares, and count as zero. Without k-mers in either the distance is null.
+    """
     n = F.least(F.size(a), F.size(b))
     x, y = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
     total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, i: s + i).cast("double")
     sums = F.array(F.struct(x.alias("x"), y.alias("y"), total(x).alias("sx"), total(y).alias("sy")))
-    square = lambda s: F.aggregate(F.zip_with(s["x"], s["y"], lambda i, j: F.pow(i / s["sx"] - j / s["sy"], F.lit(2.0))), F.lit(0.0), lambda t, v: t + v)
-    return F.sqrt(F.transform(sums, square)[0])
+    share = lambda v, sum: F.coalesce(F.try_divide(v.cast("double"), sum), F.lit(0.0))
+    square = lambda s: F.aggregate(F.zip_with(s["x"], s["y"], lambda i, j: F.pow(share(i, s["sx"]) - share(j, s["sy"]), F.lit(2.0))), F.lit(0.0), lambda t, v: t + v)
+    return F.when(n > 0, F.sqrt(F.transform(sums, square)[0]))
 
 
 def intra_pairs(pairs: DataFrame, sequences: DataFrame, limit: float = INTRA) -> DataFrame:

@@ -164,6 +164,16 @@ def test_reverse_complement_and_kmers(spark):
     assert got == {"AT": 1, "TG": 2, "GC": 2, "CT": 1, "TT": 1}
 
 
+def test_tetramer_distance_without_shared_kmers(spark):
+    """Counts that are zero wherever both have k-mers have no shares there; reads without k-mers have no distance."""
+    counts = [(1, [3, 1], [0, 0, 5]), (2, [3, 1], [3, 1]), (3, [], [2]), (4, [], [])]
+    got = dict(spark.createDataFrame(counts, "i int, a array<long>, b array<long>").select("i", dna.tetramer_distance(F.col("a"), F.col("b"))).collect())
+    assert got == {1: pytest.approx((0.75**2 + 0.25**2) ** 0.5), 2: 0.0, 3: None, 4: None}
+    reads = spark.createDataFrame([("a", "T" * 40), ("b", "A" * 9 + "C" * 9), ("c", ""), ("d", None)], "header string, seq string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "c")], "qname string, tname string")
+    assert dna.intra_pairs(pairs, reads).collect() == []
+
+
 def test_live_decision(spark):
     reads = spark.createDataFrame([("a", "ACG"), ("b", "ACG"), ("c", ""), ("d", "ACG"), ("e", "A")], "read_id string, seq string")
     hits = spark.createDataFrame([("a", "k", 150, 0), ("b", "k", 50, 0), ("d", "k", 150, 0), ("d", "k", 50, 0)], "read_id string, contig string, r_pos long, strand int")
