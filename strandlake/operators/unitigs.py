@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
-from ..plans.storage import materialize
+from ..plans.storage import discard, materialize
 
 FUZZ = 1000
 
@@ -68,15 +68,23 @@ def layout(links: DataFrame, lengths: DataFrame, fuzz: int = FUZZ) -> DataFrame:
     steps = materialize(visits.join(out, ["name", "enter"], "left"), "steps")
     jump = steps.select("name", "enter", F.coalesce("to", "name").alias("far"), F.coalesce("to_enter", "enter").alias("far_enter"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.coalesce("to", "name").alias("low"))
     jump = jump.withColumn("low", F.least("low", "name"))
+    stops = steps.filter("to is null").select(F.col("name").alias("far"), F.col("enter").alias("far_enter"), F.lit(True).alias("__stop"))
     total = reads.count()
     rounds = max(1, total.bit_length())
+    jump = materialize(jump.withColumn("news", F.lit(True)), "jump")
     for _ in range(rounds):
-        jump = materialize(jump, "jump")
         ahead = jump.select(F.col("name").alias("far"), F.col("enter").alias("far_enter"), F.col("far").alias("f2"), F.col("far_enter").alias("e2"), F.col("dist").alias("d2"), F.col("low").alias("l2"))
-        jump = jump.join(ahead, ["far", "far_enter"]).select("name", "enter", F.col("f2").alias("far"), F.col("e2").alias("far_enter"), (F.col("dist") + F.col("d2")).alias("dist"), F.least("low", "l2").alias("low"))
-    jump = materialize(jump, "jump")
-    stops = steps.filter("to is null").select(F.col("name").alias("far"), F.col("enter").alias("far_enter"), F.lit(True).alias("__stop"))
-    placed = jump.join(stops, ["far", "far_enter"], "left")
+        ended = stops.select(F.col("far").alias("f2"), F.col("far_enter").alias("e2"), "__stop")
+        moved = jump.join(ahead, ["far", "far_enter"]).join(ended, ["f2", "e2"], "left")
+        # A path has visits at every distance from its end, so one arrives in each round until all have; where no least name
+        # of a ring changes in a round, each is that of its whole ring.
+        news = (F.col("d2") > 0) & F.col("__stop").isNotNull() | (F.col("l2") < F.col("low"))
+        moved = moved.select("name", "enter", F.col("f2").alias("far"), F.col("e2").alias("far_enter"), (F.col("dist") + F.col("d2")).alias("dist"), F.least("low", "l2").alias("low"), news.alias("news"))
+        jump, old = materialize(moved, "jump"), jump
+        discard(old)
+        if jump.filter("news").isEmpty():
+            break
+    placed = jump.drop("news").join(stops, ["far", "far_enter"], "left")
     # A path and its mirror image both appear; the one whose first read's name is less stays.
     lines = placed.filter("__stop").groupBy("far", "far_enter").agg(F.max_by(F.struct("name", "enter"), "dist").alias("first"), F.max("dist").alias("last"))
     lines = lines.filter(F.col("first.name") < F.col("far")).select("far", "far_enter", F.col("first.name").alias("unitig"), "last")

@@ -222,3 +222,24 @@ def test_unitig_of_three_reads(spark):
     whole = un.assembled(placed, frame).collect()
     assert len(whole) == 1
     assert whole[0].seq in (genome, turn(genome))
+
+
+def test_doubling_ends_with_the_longest_path(spark, monkeypatch):
+    """Many paths of 1 to 9 joints and rings of 5 and 12 are placed whole; rounds go by the longest of them, not by the number of reads."""
+    made = []
+    monkeypatch.setattr(un, "materialize", lambda df, name, f=un.materialize: made.append(name) or f(df, name))
+    rows, want = [], {}
+    for p in range(60):
+        size = p % 9 + 2
+        want[f"p{p:02d}.00"] = [(False, i, f"p{p:02d}.{i:02d}") for i in range(size)]
+        rows += [(f"p{p:02d}.{i:02d}", "R", f"p{p:02d}.{i + 1:02d}", "L") for i in range(size - 1)]
+    for r, size in (("x", 5), ("y", 12)):
+        want[f"{r}.00"] = [(True, i, f"{r}.{i:02d}") for i in range(size)]
+        rows += [(f"{r}.{i:02d}", "R", f"{r}.{(i + 1) % size:02d}", "L") for i in range(size)]
+    links = spark.createDataFrame([(*row, 5000, 3000, 5000, 5000, 0, 2000) for row in rows], "qname string, qside string, tname string, tside string, qlen long, qstart long, qend long, tlen long, tstart long, tend long")
+    names = sorted({row[i] for row in rows for i in (0, 2)})
+    got = {}
+    for r in un.layout(links, spark.createDataFrame([(n, 5000) for n in names], "header string, length long")).orderBy("unitig", "idx").collect():
+        got.setdefault(r.unitig, []).append((r.circ, r.idx, r.name))
+    assert got == want
+    assert made.count("jump") <= 6 < len(names).bit_length()
