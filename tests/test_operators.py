@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,56 @@ def test_overlaps_of_many_copies(spark):
     assert len(got) == 60 * 59 // 2 == len(set(got))
 
 
+def sides(*reads):
+    """Queries and targets of ``reads`` as the kernel of overlaps takes them."""
+    found = [ov.minimizers(x) for x in reads]
+    rows = sorted((h, i, s, p) for i, f in enumerate(found) for h, p, s in zip(*(x.tolist() for x in f), strict=True))
+    h, owner, strand, pos = (np.array(x) for x in zip(*rows, strict=True))
+    return ov._Side([f"r{i}" for i in range(len(reads))], np.array([len(x) for x in reads]), h, owner, (pos << 1 | strand).astype(np.uint32))
+
+
+def test_anchors_of_repeats_are_counted_by_runs(monkeypatch):
+    """A repeat within reads gives the bands that anchors one by one give, from a small part of their number."""
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    unit, flank = random_genome(7, 5), random_genome(900, 6)
+    side = sides(flank + unit * 700, turn(unit * 800) + flank, unit * 3 + flank[:400] + unit * 500)
+    found = [ov.minimizers(x) for x in (flank + unit * 700, turn(unit * 800) + flank, unit * 3 + flank[:400] + unit * 500)]
+    want, anchors = {}, 0
+    for x in range(3):
+        for y in range(x + 1, 3):
+            (h, p, s), (g, r, u) = found[x], found[y]
+            i, j = np.nonzero(h[:, None] == g[None, :])
+            anchors += len(i)
+            for a, b, rev in zip(p[i].tolist(), r[j].tolist(), (s[i] != u[j]).tolist(), strict=True):
+                key = (x, y, int(rev), (a + b if rev else a - b) // ov.BAND)
+                n, q0, q1, t0, t1 = want.get(key, (0, a, a, b, b))
+                want[key] = (n + 1, min(q0, a), max(q1, a), min(t0, b), max(t1, b))
+    spread, made = ov._spread, []
+
+    def counted(counts):
+        out = spread(counts)
+        made.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(ov, "_spread", counted)
+    key, *sums = ov._bands(side, side, np.arange(3), np.full(3, -1))
+    pair = key >> 24
+    names = zip((pair // 6).tolist(), (pair // 2 % 3).tolist(), (pair % 2).tolist(), ((key & (1 << 24) - 1) - (1 << 23)).tolist(), strict=True)
+    assert dict(zip(names, zip(*(x.tolist() for x in sums), strict=True), strict=True)) == want
+    assert sum(made) < anchors / 10
+
+
+def test_overlaps_in_several_blocks(spark, monkeypatch):
+    """Blocks of one part each, to which parts of earlier ids aren't sent, give the overlaps that one block gives."""
+    genome = random_genome(30_000, 8)
+    reads = spark.createDataFrame([(f"r{i:02d}", genome[i * 1000 : i * 1000 + 5000]) for i in range(25)], "id string, seq string")
+    whole = sorted(ov.all_against_all(reads).collect())
+    pairs = {(r.qname, r.tname) for r in whole}
+    assert {(f"r{i:02d}", f"r{j:02d}") for i in range(25) for j in range(i + 1, min(i + 5, 25))} <= pairs and all(a < b for a, b in pairs)
+    monkeypatch.setattr(ov, "BLOCK", 1)
+    assert sorted(ov.all_against_all(reads).collect()) == whole
+
+
 def test_unitig_of_three_reads(spark):
     genome = random_genome(20_000)
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
