@@ -262,6 +262,19 @@ def test_overlaps_in_several_blocks(spark, monkeypatch):
     assert sorted(ov.all_against_all(reads).collect()) == whole
 
 
+def test_reads_mapped_on_targets_that_are_written_only_for_several_blocks(spark, monkeypatch):
+    """One block of queries meets the targets' sketch as it is made; several blocks give the same alignments."""
+    made = []
+    monkeypatch.setattr(ov, "written", lambda parts, f=ov.written: made.append(1) or f(parts))
+    genome = random_genome(30_000, 8)
+    contigs = spark.createDataFrame([(f"c{i}", genome[i * 5000 : i * 5000 + 5500]) for i in range(6)], "id string, seq string")
+    reads = spark.createDataFrame([(f"r{i:02d}", genome[i * 1500 : i * 1500 + 400]) for i in range(20)], "id string, seq string").repartition(4)
+    one = sorted(ov.map_reads(reads, contigs).collect())
+    assert len(made) == 1 and {(f"r{i:02d}", f"c{i * 1500 // 5000}") for i in range(20) if i * 1500 % 5000 <= 4500} <= {(r.qname, r.tname) for r in one}
+    monkeypatch.setattr(ov, "BLOCK", 1)
+    assert sorted(ov.map_reads(reads, contigs).collect()) == one and len(made) == 3
+
+
 def test_unitig_of_three_reads(spark):
     genome = random_genome(20_000)
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
