@@ -275,6 +275,17 @@ def test_reads_mapped_on_targets_that_are_written_only_for_several_blocks(spark,
     assert sorted(ov.map_reads(reads, contigs).collect()) == one and len(made) == 3
 
 
+def test_incremental_overlaps_are_those_of_all_without_the_pool_s_own(spark):
+    genome = random_genome(30_000, 8)
+    reads = spark.createDataFrame([(f"r{i:02d}", genome[i * 1000 : i * 1000 + 5000]) for i in range(25)], "id string, seq string").withColumn("new", F.xxhash64("id") % 3 == 0)
+    new, pool = reads.filter("new").drop("new"), reads.filter("not new").drop("new")
+    fresh = {r.id for r in new.collect()}
+    both = {frozenset((r.qname, r.tname)) for r in ov.all_against_all(reads.drop("new")).collect()}
+    got = [(r.qname, r.tname) for r in ov.incremental(new, pool).collect()]
+    assert all(q in fresh for q, _ in got) and len({frozenset(x) for x in got}) == len(got)
+    assert {frozenset(x) for x in got} == {x for x in both if x & fresh}
+
+
 def test_unitig_of_three_reads(spark):
     genome = random_genome(20_000)
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
