@@ -286,6 +286,25 @@ def test_incremental_overlaps_are_those_of_all_without_the_pool_s_own(spark):
     assert {frozenset(x) for x in got} == {x for x in both if x & fresh}
 
 
+def test_only_what_meets_new_reads_is_written_of_the_pool_s_sketch(spark, monkeypatch):
+    """Blocks of one part each, so the pool's sketch is written: without minimizers that no new read has, and with the alignments that the whole sketch gives."""
+    genome, other, made = random_genome(30_000, 8), random_genome(200_000, 11), []
+    rows = [(f"r{i:02d}", genome[i * 1000 : i * 1000 + 5000]) for i in range(25)] + [(f"x{i:02d}", other[i * 5000 : i * 5000 + 5000]) for i in range(40)]
+    reads = spark.createDataFrame(rows, "id string, seq string").repartition(4)
+    new, pool = reads.filter("id in ('r03', 'r11', 'r12')"), reads.filter("id not in ('r03', 'r11', 'r12')")
+    monkeypatch.setattr(ov, "BLOCK", 1)
+    fresh = ov.written(ov.sketch(ov._by_id(new)))
+    whole = sorted(ov.alignments(fresh, fresh, within=True).unionByName(ov.alignments(fresh, ov.sketch(pool))).collect())
+    kept = ov.written
+    monkeypatch.setattr(ov, "written", lambda parts: made.append(kept(parts)) or made[-1])
+    monkeypatch.setattr(ov, "discard", lambda table: None)
+    assert sorted(ov.incremental(new, pool).collect()) == whole and len(whole) > 10
+    met = np.unique(np.concatenate([np.frombuffer(x.h, dtype=np.int64) for x in made[0].collect()]))
+    held = np.concatenate([np.frombuffer(x.h, dtype=np.int64) for x in made[1].collect()])
+    all_ = sum(x.n for x in ov.sketch(pool).collect())
+    assert len(made) == 2 and np.isin(held, met).mean() > 0.5 and 0 < len(held) < all_ / 3
+
+
 def test_unitig_of_three_reads(spark):
     genome = random_genome(20_000)
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
