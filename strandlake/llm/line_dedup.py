@@ -57,6 +57,10 @@ SOME = 8
 PART = 2048
 #: Most rows of ids or pairs of ids that are broadcast; more are joined by shuffling.
 BROADCAST = 300_000
+#: 64-bit words in a row of the table that tells most keys of one line from shared ones, places for each shared key there, and most rows.
+CELLS = 8
+PLACES = 8
+ROWS_MOST = 1 << 18
 
 ORDER = ("absent", "doc_id", "at", "pos")
 
@@ -103,13 +107,32 @@ def signatures(lines: DataFrame) -> DataFrame:
     return found.select("line_id", "n", *ORDER, *[packed(b).alias(f"b{b}") for b in range(len(BANDS))])
 
 
+def perhaps(keys: DataFrame, shared: DataFrame) -> DataFrame:
+    """Those of ``keys(key, ...)`` that can be in ``shared(key)``, a written table: all that are, and about one in ``PLACES`` of the others.
+
+    Each shared key sets one bit of a broadcast table, so the other keys, which are most, aren't shuffled to be looked up. Where shared keys
+    are so many that the table has fewer places than it should, more of the others are left.
+    """
+    rows, count = 1, shared.count()
+    while rows < ROWS_MOST and rows * 64 * CELLS < PLACES * count:
+        rows *= 2
+    place = F.expr(f"key div {rows}")
+    row, cell, bit = F.col("key") % rows, place.bitwiseAND(64 * CELLS - 64), F.expr(f"shiftleft(1L, cast((key div {rows}) & 63 as int))")
+    cells = [F.bit_or(F.when(cell == 64 * c, bit).otherwise(0)).alias(f"__c{c}") for c in range(CELLS)]
+    places = F.broadcast(shared.groupBy(row.alias("__row")).agg(*cells))
+    word = reduce(lambda rest, c: F.when(cell == 64 * c, F.col(f"__c{c}")).otherwise(rest), range(CELLS), F.lit(0).cast("long"))
+    return keys.join(places, row == F.col("__row")).filter(word.bitwiseAND(bit) != 0).select(*keys.columns)
+
+
 def classes(found: DataFrame) -> DataFrame:
     """(line_id, lead, bands): each line with the most frequent line of each of its buckets, other than itself, and a bit for each band of these buckets."""
     # As many bits of the bands' hashes as keep chance agreements to about one in 4,096 rows.
     bits = min(64, 12 + max(1, math.ceil(math.log2(1 + found.count() * len(BANDS)))))
     keys = found.select(F.posexplode(F.array(*[F.shiftrightunsigned(f"b{b}", 64 - bits) for b in range(len(BANDS))])).alias("b", "key"), "line_id", "n")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    rows = written(keys.join(shared.hint("shuffle_hash"), "key"), "buckets")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "shared")
+    reclaim(found.sparkSession)
+    rows = written(perhaps(keys, shared).join(shared.hint("shuffle_hash"), "key"), "buckets")
+    discard(shared)
     lead = rows.groupBy("key").agg(F.max(F.struct("n", "line_id")).alias("lead")).select("key", F.col("lead.line_id").alias("lead"))
     out = written(rows.join(lead, "key").filter("line_id <> lead").groupBy("line_id", "lead").agg(F.bit_or(F.expr("shiftleft(1, b)")).alias("bands")), "classes")
     discard(rows)

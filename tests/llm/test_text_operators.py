@@ -463,3 +463,15 @@ def test_quality_model(spark, edge):
     assert len(got) == edge.count() and all(0 <= r.score <= 1 for r in got)
     flat = quality_model.fit(edge, labels.limit(0))
     assert {round(r.score, 6) for r in quality_model.score(edge, flat).collect()} == {0.5}
+
+
+def test_keys_of_one_line_are_not_shuffled_to_be_looked_up(spark, monkeypatch):
+    """Before the join with the shared keys nearly all others are gone, and none of the shared ones, however small the table of bits is."""
+    keys = spark.range(20_000).select(F.shiftrightunsigned(F.xxhash64("id"), 24).alias("key"), "id")
+    shared = line_dedup.written(keys.filter("id % 50 = 0").select("key"), "shared")
+    for most, rest in ((line_dedup.ROWS_MOST, 0.25), (1, 1.0)):
+        monkeypatch.setattr(line_dedup, "ROWS_MOST", most)
+        left = [r.id for r in line_dedup.perhaps(keys, shared).collect()]
+        assert {x for x in left if x % 50 == 0} == set(range(0, 20_000, 50)) and len(left) == len(set(left))
+        assert sum(x % 50 > 0 for x in left) <= rest * 19_600
+    assert line_dedup.perhaps(keys, shared.filter("false")).isEmpty()
