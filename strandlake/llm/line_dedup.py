@@ -45,8 +45,8 @@ ROWS = 6
 COLUMNS = 4
 #: The minima of each band.
 BANDS = tuple(tuple(COLUMNS * r + c for c in range(COLUMNS)) for r in range(ROWS)) + tuple(tuple(COLUMNS * ((c + s) % ROWS) + c for c in range(COLUMNS)) for s in range(ROWS))
-#: Shingles that a row holds while minima are taken; fewer rows are summed then.
-STEP = 8
+#: Shingles that a row holds while minima are taken: with more, fewer rows are summed, but the least within a row takes more time.
+STEP = 4
 #: 64-bit words of a line's bitmap.
 WORDS = 32
 #: Pairs in classes, as a multiple of the lines left over, up to which they are compared at once.
@@ -83,7 +83,9 @@ def wide(line: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(absent, doc_id, at, pos, line) of every line that isn't blank."""
-    rows = docs.filter("text is not null").select(F.col("doc_id").isNull().alias("absent"), "doc_id", address().alias("at"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # The address is found in a step of its own; what stands beside explode is computed for every line.
+    whole = docs.filter("text is not null").select(F.col("doc_id").isNull().alias("absent"), "doc_id", address().alias("at"), "text")
+    rows = whole.select("absent", "doc_id", "at", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.filter(F.col("line").rlike(r"\S"))
 
 
@@ -92,10 +94,12 @@ def signatures(lines: DataFrame) -> DataFrame:
     first = F.min(F.struct(*ORDER)).alias("first")
     each = lines.withColumn("line_id", F.xxhash64("line")).groupBy("line_id").agg(F.count("*").alias("n"), first, F.first("line").alias("line"))
     last = F.greatest(F.length("line") - SIZE, F.lit(0))
-    # The line is widened in a step of its own; what stands beside explode is computed for every shingle.
-    widened = each.select("line_id", "n", "first.*", wide(F.col("line")).alias("wide"), last.alias("last"))
-    exploded = widened.select("line_id", "n", *ORDER, "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
-    hashes = [F.xxhash64(F.expr(f"substring(wide, 4 * least(i + {j}, last) + 1, {4 * SIZE})")).alias(f"h{j}") for j in range(STEP)]
+    # The line is widened in a step of its own; what stands beside explode is computed for every shingle. So are the places within a row,
+    # which are the same in all rows of a line: the last row is moved back to end with the line, and lines shorter than a row repeat their last shingle.
+    places = [F.expr(f"4 * least({j}, last) + 1").alias(f"p{j}") for j in range(STEP)]
+    widened = each.select("line_id", "n", "first.*", wide(F.col("line")).alias("wide"), last.alias("last")).select("*", *places)
+    exploded = widened.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP)))).withColumn("from", F.expr(f"4 * greatest(least(i, last - {STEP - 1}), 0)"))
+    hashes = [F.xxhash64(F.expr(f"substring(wide, from + p{j}, {4 * SIZE})")).alias(f"h{j}") for j in range(STEP)]
     minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"m{i}") for i, c in enumerate(anchors(ROWS * COLUMNS))]
     # The frequency and first place are alike for all shingles of a line; the rows of a line are in one partition already.
     found = exploded.select("line_id", "n", *ORDER, *hashes).groupBy("line_id", "n", *ORDER).agg(*minima)
@@ -156,7 +160,7 @@ def shingles(line: str) -> Column:
     return F.transform(F.array(wide(F.col(line))), lambda w: F.transform(places, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SIZE)))))[0]
 
 
-def bitmaps(texts: DataFrame, step: int = 4) -> DataFrame:
+def bitmaps(texts: DataFrame, step: int = 8) -> DataFrame:
     """(line_id, size, z0, z1, ...) of ``texts(line_id, line)``: how many shingles a line has at most, and its bitmap."""
     last = F.greatest(F.length("line") - SIZE, F.lit(0))
     widened = texts.select("line_id", wide(F.col("line")).alias("wide"), last.alias("last"))
@@ -303,7 +307,7 @@ def dedupe_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def rebuilt(lines: Column) -> Column:
         blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-        places = F.array_sort(F.concat(F.col("__stay"), blank))
+        places = F.sort_array(F.concat(F.col("__stay"), blank))
         return F.struct(F.array_join(F.transform(places, lambda p: F.get(lines, p)), "\n").alias("text"), (F.size(lines) - F.size(blank)).alias("lines"))
 
     # The lines are bound to a lambda's variable so that the text is split once.

@@ -475,3 +475,22 @@ def test_keys_of_one_line_are_not_shuffled_to_be_looked_up(spark, monkeypatch):
         assert {x for x in left if x % 50 == 0} == set(range(0, 20_000, 50)) and len(left) == len(set(left))
         assert sum(x % 50 > 0 for x in left) <= rest * 19_600
     assert line_dedup.perhaps(keys, shared.filter("false")).isEmpty()
+
+
+def test_a_text_is_hashed_once_and_not_for_each_of_its_lines(spark):
+    """The address of a row is computed below the step that makes a row of each line."""
+    plan = line_dedup.occurrences(docs(spark, (1, "a line\nanother"), (2, None)))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (split,) = [i for i, x in enumerate(plan) if "Generate " in x]
+    hashed = [i for i, x in enumerate(plan) if "xxhash64(" in x]
+    assert hashed and min(hashed) > split
+
+
+@pytest.mark.parametrize("step", [1, 3, 4, 8])
+def test_minima_are_those_of_all_shingles_of_a_line(spark, monkeypatch, step):
+    """Signatures don't depend on how many shingles a row holds, for lines shorter than a shingle or a row too."""
+    text = "\n".join("𝛼bcdefghijklmnopqrstuvwxyz"[:n] for n in range(1, 27))
+    rows = {}
+    for size in (step, 2):
+        monkeypatch.setattr(line_dedup, "STEP", size)
+        rows[size] = sorted(map(tuple, line_dedup.signatures(line_dedup.occurrences(docs(spark, (1, text), (2, text)))).collect()))
+    assert rows[step] == rows[2] and len(rows[2]) == 26 and all(r[1] == 2 for r in rows[2])
