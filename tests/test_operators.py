@@ -15,6 +15,7 @@ from strandlake.operators import decisions as de
 from strandlake.operators import links as li
 from strandlake.operators import overlap as ov
 from strandlake.operators import unitigs as un
+from strandlake.plans import queries
 
 PAF = "qname string, qlen long, qstart long, qend long, tname string, tlen long, tstart long, tend long, rev int, s1 long, maplen long, block_len long, line_no long"
 
@@ -305,6 +306,22 @@ def test_only_what_meets_new_reads_is_written_of_the_pool_s_sketch(spark, monkey
     assert len(made) == 2 and np.isin(held, met).mean() > 0.5 and 0 < len(held) < all_ / 3
 
 
+def documents(spark, folder, texts):
+    """A folder of tables whose only one is ``documents``, of texts by id that give these bases."""
+    rows = [(i, x and x.translate(str.maketrans("ACGT", "abcd"))) for i, x in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_reads_of_any_length_have_overlaps(spark, tmp_path):
+    """Reads of 300 and 700 bases, and one with few, are read; those that share a passage of 200 bases overlap."""
+    passage = random_genome(200, 21)
+    texts = {20: passage + random_genome(100, 22), 1: random_genome(500, 23) + passage, 2: random_genome(400, 24), 3: "ACGT", 4: None}
+    at = documents(spark, tmp_path, texts)
+    assert {r.id for r in queries._dna(spark, at).collect()} == {"20", "1", "2", "3", "4"}
+    assert {(r.qname, r.tname) for r in queries.overlaps_incremental(spark, at).collect()} == {("20", "1")}
+
+
 def test_unitig_of_three_reads(spark):
     genome = random_genome(20_000)
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
