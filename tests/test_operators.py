@@ -322,6 +322,14 @@ def test_reads_of_any_length_have_overlaps(spark, tmp_path):
     assert {(r.qname, r.tname) for r in queries.overlaps_incremental(spark, at).collect()} == {("20", "1")}
 
 
+def test_reads_are_mapped_whole(spark, tmp_path):
+    """A passage after the first 400 bases, and a target of 300 bases, are found."""
+    passage = random_genome(200, 21)
+    at = documents(spark, tmp_path, {20: random_genome(3000, 25) + passage, 1: random_genome(100, 26) + passage, 2: random_genome(3000, 27)})
+    found = queries.read_mapping(spark, at).filter("s1 > 50").collect()
+    assert [(r.qname, r.tname, r.qstart > 2900, r.tstart > 50) for r in found] == [("20", "1", True, True)]
+
+
 def test_unitig_of_three_reads(spark):
     genome = random_genome(20_000)
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
