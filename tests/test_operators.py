@@ -322,6 +322,40 @@ def test_reads_of_any_length_have_overlaps(spark, tmp_path):
     assert {(r.qname, r.tname) for r in queries.overlaps_incremental(spark, at).collect()} == {("20", "1")}
 
 
+def test_links_of_the_kernel_are_its_alignments(monkeypatch):
+    """With few counters and small slices too, for repeats near each other and far apart, turned reads, copies and pairs that meet by chance."""
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    unit, genome = random_genome(60, 31), random_genome(6000, 32)
+    reads = [genome[i * 500 : i * 500 + 1500] for i in range(9)] + [turn(genome[2000:3500]), genome[:1500], random_genome(1500, 33)]
+    reads += [unit[:7] * 300, unit[:7] * 200 + genome[:300], turn(unit[:7] * 90), unit[:30], random_genome(700, 34) + unit[:30], "ACGT" * 300]
+    reads += ["".join(random_genome(k, 40 + i) + unit[:20] for i in range(6)) for k in (30, 600, 900)]
+    reads += ["".join(random.Random(i).choices(("ACCTGATTACAGG", "TTGACCATAGAC", "GGATCCATTAGCA", "CATGCATTACGAA"), k=60)) for i in range(8)]
+    side = sides(*reads)
+    side = ov._Side([f"r{i:02d}" for i in range(len(reads))], side.lens, np.repeat(np.repeat(side.h, side.groups), side.size), np.repeat(side.owner, side.size), (side.pos << 1 | np.repeat(side.strand, side.size)).astype(np.uint32))
+    found = ov._chained(side, side, 4, True)
+    want = set(zip(found.column("qname").to_pylist(), found.column("tname").to_pylist(), strict=True))
+    assert 60 < len(want) < len(reads) * (len(reads) - 1) // 2
+    for counters, slice_ in ((22, 1 << 20), (3, 1 << 20), (22, 50)):
+        monkeypatch.setattr(ov, "COUNTERS", counters)
+        monkeypatch.setattr(ov, "SLICE", slice_)
+        assert {(side.ids[x], side.ids[y]) for x, y in zip(*np.nonzero(ov._links(side, side, 4)), strict=True)} == want
+
+
+def test_overlaps_of_all_are_counted_for_each_read(spark, tmp_path, monkeypatch):
+    """One row for each read, with its class and the number of reads that all pairs' alignments give, in one block and in several."""
+    genome = random_genome(12_000, 35)
+    texts = {i: genome[i * 500 : i * 500 + 1500] for i in range(20)} | {30: genome[:1500], 31: genome[:1500], 32: "ACGT", 33: None, 34: random_genome(2000, 36)}
+    at = documents(spark, tmp_path, texts)
+    partners = {str(i): set() for i in texts}
+    for r in ov.all_against_all(queries._dna(spark, at)).collect():
+        partners[r.qname].add(r.tname)
+        partners[r.tname].add(r.qname)
+    want = sorted((i, {"30": "0", "31": "0"}.get(i, i), len(x)) for i, x in partners.items())
+    assert sorted(map(tuple, queries.overlaps_all_against_all(spark, at).collect())) == want and sum(x[2] for x in want) > 60
+    monkeypatch.setattr(ov, "LINKS_BLOCK", 1)
+    assert sorted(map(tuple, queries.overlaps_all_against_all(spark, at).collect())) == want
+
+
 def test_reads_are_mapped_whole(spark, tmp_path):
     """A passage after the first 400 bases, and a target of 300 bases, are found."""
     passage = random_genome(200, 21)
