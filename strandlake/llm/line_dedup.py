@@ -13,7 +13,8 @@ of their sets of ``SIZE``-character shingles is ``SIMILARITY`` or more; groups a
 3. The most frequent line of a bucket leads it, and the buckets with one lead are a class. Each line of a class is compared
    exactly with the lead. Lines that are then in another component than the lead are compared with all lines outside their own
    component that share a bucket of the class with them (a bit for each band tells it), so no link within a bucket is lost.
-4. Before an exact comparison two lines' bitmaps are compared: each shingle sets one of ``64 * WORDS`` bits, and a bit that one line
+4. Lines whose buckets each hold lines of one component only have nothing to be compared with and end here. Before the others' exact
+   comparison two lines' bitmaps are compared: each shingle sets one of ``64 * WORDS`` bits, and a bit that one line
    has and the other hasn't stands for at least one shingle that they don't share. Where there are more such bits than the
    similarity allows, the exact one is lower, so this rules out nothing that links. Most pairs that don't link end here, at the
    price of some bit counts within the join. Lines left over bring their sets to that join, and the others end there.
@@ -55,6 +56,9 @@ SPARSE = 64
 SOME = 8
 #: Lines that a part of a class has on average at most.
 PART = 2048
+#: Pairs and lines up to which what lines left over are compared with isn't dealt out to more tasks.
+TASK_PAIRS = 1 << 16
+TASK_LINES = 1 << 13
 #: Most rows of ids or pairs of ids that are broadcast; more are joined by shuffling.
 BROADCAST = 300_000
 #: 64-bit words in a row of the table that tells most keys of one line from shared ones, places for each shared key there, and most rows.
@@ -63,6 +67,8 @@ PLACES = 8
 ROWS_MOST = 1 << 18
 
 ORDER = ("absent", "doc_id", "at", "pos")
+#: The white space of a regular expression's ``\\s``.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def anchors(count: int) -> list[int]:
@@ -76,6 +82,11 @@ def address() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def solid(line: Column) -> Column:
+    """Whether a line isn't blank; looks at a line's first characters only."""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
+
+
 def wide(line: Column) -> Column:
     """Four bytes to a character, so that a shingle is found by its place."""
     return F.encode(line, "UTF-32")
@@ -86,23 +97,33 @@ def occurrences(docs: DataFrame) -> DataFrame:
     # The address is found in a step of its own; what stands beside explode is computed for every line.
     whole = docs.filter("text is not null").select(F.col("doc_id").isNull().alias("absent"), "doc_id", address().alias("at"), "text")
     rows = whole.select("absent", "doc_id", "at", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.filter(F.col("line").rlike(r"\S"))
+    return rows.filter(solid(F.col("line")))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """One row for each line that differs: its hash, its frequency ``n``, its first place and the hashes of its bands."""
     first = F.min(F.struct(*ORDER)).alias("first")
     each = lines.withColumn("line_id", F.xxhash64("line")).groupBy("line_id").agg(F.count("*").alias("n"), first, F.first("line").alias("line"))
-    last = F.greatest(F.length("line") - SIZE, F.lit(0))
     # The line is widened in a step of its own; what stands beside explode is computed for every shingle. So are the places within a row,
     # which are the same in all rows of a line: the last row is moved back to end with the line, and lines shorter than a row repeat their last shingle.
-    places = [F.expr(f"4 * least({j}, last) + 1").alias(f"p{j}") for j in range(STEP)]
-    widened = each.select("line_id", "n", "first.*", wide(F.col("line")).alias("wide"), last.alias("last")).select("*", *places)
-    exploded = widened.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP)))).withColumn("from", F.expr(f"4 * greatest(least(i, last - {STEP - 1}), 0)"))
-    hashes = [F.xxhash64(F.expr(f"substring(wide, from + p{j}, {4 * SIZE})")).alias(f"h{j}") for j in range(STEP)]
+    last = F.greatest(F.length("line") - SIZE, F.lit(0)).alias("last")
+    pairs = each.select("line_id", "n", "first.*", "line", last, F.length("line").alias("chars"), F.encode("line", "UTF-16BE").alias("units"))
+    # Two bytes to a character, four where a line has characters that take two units of UTF-16; a shingle is hashed as UTF-16 in either case.
+    plain = pairs.withColumn("plain", F.octet_length("units") == 2 * F.col("chars")).withColumn("bytes", F.when(F.col("plain"), 2).otherwise(4))
+    widened = plain.select("line_id", "n", *ORDER, "plain", "bytes", F.when(F.col("plain"), F.col("units")).otherwise(wide(F.col("line"))).alias("wide"), "last")
+    widened = widened.select("*", (SIZE * F.col("bytes")).alias("size"), *[F.expr(f"bytes * least({j}, last) + 1").alias(f"p{j}") for j in range(STEP)])
+    exploded = widened.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP)))).withColumn("from", F.expr(f"bytes * greatest(least(i, last - {STEP - 1}), 0)"))
+
+    def hashed(j: int) -> Column:
+        shingle = f"substring(wide, from + p{j}, size)"
+        # A blank goes before it, as a mark of the byte order would be dropped there.
+        return F.xxhash64(F.expr(f"if(plain, {shingle}, substring(encode(decode(concat(X'00000020', {shingle}), 'UTF-32'), 'UTF-16BE'), 3))"))
+
     minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"m{i}") for i, c in enumerate(anchors(ROWS * COLUMNS))]
-    # The frequency and first place are alike for all shingles of a line; the rows of a line are in one partition already.
-    found = exploded.select("line_id", "n", *ORDER, *hashes).groupBy("line_id", "n", *ORDER).agg(*minima)
+    # The frequency and first place are alike for all shingles of a line, whose rows are in one partition already. Keys cost more than minima;
+    # doc_id is one as it may be of a type that has no place in a buffer of sums.
+    alike = [F.min(c).alias(c) for c in ("n", *ORDER) if c != "doc_id"]
+    found = exploded.select("line_id", "n", *ORDER, *[hashed(j).alias(f"h{j}") for j in range(STEP)]).groupBy("line_id", "doc_id").agg(*alike, *minima)
 
     def packed(b: int) -> Column:
         """A hash of a band's minima."""
@@ -185,25 +206,37 @@ def near(similarity: float) -> Column:
     return (1 + similarity) * total <= (1 - similarity) * (F.col("u_size") + F.col("v_size")) + 1e-6
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the written ``pairs(u, v)`` whose lines are as similar as that. Sets are made only where the bitmaps allow it."""
-    left = lines.select(F.col("line_id").alias("u"), F.col("line").alias("x"), *side("u"))
-    right = lines.select(F.col("line_id").alias("v"), F.col("line").alias("y"), *side("v"))
-    met = left.join(small(pairs), "u").join(right, "v").filter(near(similarity)).select("u", "v", "x", "y")
-    # Each step's arrays are used more than once by the next, so they are computed once.
-    sets = met.select("u", "v", F.array_distinct(shingles("x")).alias("a"), F.array_distinct(shingles("y")).alias("b"))
-    sized = sets.select("u", "v", (F.size("a") + F.size("b")).alias("sum"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return sized.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("u", "v")
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the written ``pairs(u, v)`` whose lines in ``texts(line_id, line)`` are as similar as that."""
+    left = texts.select(F.col("line_id").alias("u"), F.col("line").alias("x"))
+    right = texts.select(F.col("line_id").alias("v"), F.col("line").alias("y"))
+    met = left.join(small(pairs), "u").join(right, "v")
+    # What explode gives isn't replaced by its expression in the filter, so the shingles of each line are hashed once.
+    hashed = met.select("u", "v", F.explode(F.array(F.struct(shingles("x").alias("a"), shingles("y").alias("b")))).alias("p")).select("u", "v", "p.*")
+    # |a & b| >= s |a | b| is (1 + s) |a & b| >= s (|a| + |b|).
+    total = similarity * (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b"))) - 1e-6
+    return hashed.filter((1 + similarity) * F.size(F.array_intersect("a", "b")) >= total).select("u", "v")
+
+
+def meeting(placed: DataFrame) -> DataFrame:
+    """``placed(lead, line_id, bands, own, ...)`` without buckets, and so without lines, that have lines of one component only.
+
+    Nothing in such a bucket is still to be compared. Most buckets are such: they have the lead and one line or its near copies.
+    """
+    has = [F.when(F.col("bands").bitwiseAND(F.lit(1 << b)) != 0, F.col("own")) for b in range(len(BANDS))]
+    mixed = reduce(Column.bitwiseOR, [F.when(F.min(x) != F.max(x), 1 << b).otherwise(0) for b, x in enumerate(has)])
+    open_ = placed.groupBy("lead").agg(mixed.alias("open")).filter("open <> 0")
+    return placed.join(open_, "lead").withColumn("bands", F.col("bands").bitwiseAND(F.col("open"))).filter("bands <> 0").drop("open")
 
 
 def left_over(stars: DataFrame, groups: DataFrame) -> tuple[DataFrame, int, int]:
-    """``stars`` with their components and whether that isn't their lead's; how many such lines there are and how many pairs at most."""
+    """``stars`` that are still to be compared, with their components and whether that isn't their lead's; how many such lines there are and how many pairs at most."""
     own = groups.select(F.col("node").alias("line_id"), F.col("component").alias("own"))
     main = groups.select(F.col("node").alias("lead"), F.col("component").alias("main"))
     few = groups.count() <= BROADCAST
     own, main = (F.broadcast(own), F.broadcast(main)) if few else (own, main)
     placed = stars.join(own, "line_id", "left").join(main, "lead", "left").withColumn("own", F.coalesce("own", "line_id"))
-    placed = written(placed.withColumn("left", F.col("own") != F.coalesce("main", "lead")).drop("main"), "placed")
+    placed = written(meeting(placed.withColumn("left", F.col("own") != F.coalesce("main", "lead")).drop("main")), "placed")
     sizes = placed.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("left").cast("long")).alias("lefts"))
     lefts, pairs = sizes.agg(F.coalesce(F.sum("lefts"), F.lit(0)), F.coalesce(F.sum(F.col("lefts").cast("double") * F.col("n")), F.lit(0.0))).first()
     return placed, int(lefts), int(pairs)
@@ -222,15 +255,16 @@ def nearby(placed: DataFrame, lines: DataFrame, similarity: float, turn: int | N
         others = placed.withColumn("place", place).filter(F.col("place") <= SOME).drop("place")
     count = others.groupBy("lead").agg(F.count("*").alias("n"))
     sizes = left.groupBy("lead").agg(F.count("*").alias("lefts")).join(count, "lead")
-    sizes = written(sizes.select("lead", *[F.ceil(F.col(c) / PART).cast("int").alias(p) for c, p in (("lefts", "rows"), ("n", "columns"))]), "sizes")
-    grid = small(sizes)
+    sizes = written(sizes.select("*", *[F.ceil(F.col(c) / PART).cast("int").alias(p) for c, p in (("lefts", "rows"), ("n", "columns"))]), "sizes")
+    grid = small(sizes.select("lead", "rows", "columns"))
     # Only lines that share a bucket are compared. A pair of two lines left over is taken once, where both would find it.
     once = (F.col("u_own") != F.col("v_own")) & (F.col("u_bands").bitwiseAND(F.col("v_bands")) != 0)
     if turn is None:
         once &= ~F.col("v_left") | (F.col("u") < F.col("v"))
     met = (F.col("lead") == F.col("lead_")) & (F.col("row") == F.col("row_")) & (F.col("column") == F.col("column_")) & once & near(similarity)
-    # Cells cost pairs, not bytes, so they aren't gathered into fewer tasks by size.
-    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Cells cost pairs, not bytes, so they aren't gathered into fewer tasks by size, but by pairs and lines: a task's buffers cost more than few of these.
+    pairs, copies = sizes.agg(*[F.coalesce(F.sum(F.expr(x)), F.lit(0.0)) for x in ("double(lefts) * n", "double(lefts) * columns + double(n) * rows")]).first()
+    tasks = min(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + int(max(pairs / TASK_PAIRS, copies / TASK_LINES)))
 
     def sides(known: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The two sides of the grid, with the bitmaps and sets of ``known``, and without lines that aren't there."""
@@ -248,7 +282,7 @@ def nearby(placed: DataFrame, lines: DataFrame, similarity: float, turn: int | N
     able = one.join(two, met, "left_semi").select(F.col("u").alias("line_id")).unionByName(two.join(one, met, "left_semi").select(F.col("v").alias("line_id")))
     able = written(able.distinct(), "able")
     sets = written(lines.join(small(able), "line_id", "left_semi").withColumn("line", F.array_distinct(shingles("line"))).withColumnRenamed("line", "set"), "sets")
-    # |a & b| >= s |a | b| is (1 + s) |a & b| >= s (|a| + |b|), so the sets are intersected once; the cheap tests come first.
+    # As in verified, the sets are intersected once; the cheap tests come first.
     total = similarity * (F.size("a") + F.size("b")) - 1e-6
     alike = ((1 + similarity) * F.least(F.size("a"), F.size("b")) >= total) & ((1 + similarity) * F.size(F.array_intersect("a", "b")) >= total)
     one, two = sides(sets)
@@ -260,8 +294,7 @@ def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY
     stars = classes(found)
     needed = written(stars.select(F.explode(F.array("line_id", "lead")).alias("line_id")).distinct(), "needed")
     texts = written(texts_of(docs, needed), "texts")
-    lines = written(texts.join(bitmaps(texts), "line_id"), "lines")
-    discard(needed, texts)
+    discard(needed)
     links = []
 
     def join(pairs: DataFrame) -> bool:
@@ -272,9 +305,14 @@ def like_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY
     def joined() -> DataFrame:
         return written(components(reduce(DataFrame.unionByName, links)), "groups")
 
-    join(verified(stars.select(F.col("line_id").alias("u"), F.col("lead").alias("v")), lines, similarity))
+    join(verified(stars.select(F.col("line_id").alias("u"), F.col("lead").alias("v")), texts, similarity))
     groups, turn = joined(), 0
     placed, lefts, pairs = left_over(stars, groups)
+    # Components only grow, so no other line is compared later.
+    rest = written(placed.select("line_id").distinct(), "rest")
+    few = written(texts.join(small(rest), "line_id"), "few")
+    lines = written(few.join(bitmaps(few), "line_id"), "lines")
+    discard(texts, rest, few)
     before = 2 * lefts
     while pairs > SPARSE * max(1, lefts) and 2 * lefts <= before and join(nearby(placed, lines, similarity, turn)):
         discard(groups, placed)
@@ -306,7 +344,7 @@ def dedupe_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     once = joined.withColumn("__turn", turn).withColumn("__stay", F.when(F.col("__turn") == 1, F.col("__stay")).otherwise(none))
 
     def rebuilt(lines: Column) -> Column:
-        blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+        blank = F.filter(F.transform(lines, lambda x, i: F.when(~solid(x), i)), lambda i: i.isNotNull())
         places = F.sort_array(F.concat(F.col("__stay"), blank))
         return F.struct(F.array_join(F.transform(places, lambda p: F.get(lines, p)), "\n").alias("text"), (F.size(lines) - F.size(blank)).alias("lines"))
 

@@ -494,3 +494,29 @@ def test_minima_are_those_of_all_shingles_of_a_line(spark, monkeypatch, step):
         monkeypatch.setattr(line_dedup, "STEP", size)
         rows[size] = sorted(map(tuple, line_dedup.signatures(line_dedup.occurrences(docs(spark, (1, text), (2, text)))).collect()))
     assert rows[step] == rows[2] and len(rows[2]) == 26 and all(r[1] == 2 for r in rows[2])
+
+
+def test_shingles_of_a_pair_are_hashed_once(spark):
+    """The filter of exact similarity doesn't repeat the hashing of either line."""
+    lines = ["a line that is long enough to stay alike", "a line that is long enough to stay alike!", "another one, which is nothing like the first"]
+    texts = line_dedup.written(spark.createDataFrame(list(enumerate(lines)), "line_id long, line string"), "texts")
+    met = line_dedup.written(spark.createDataFrame([(0, 1), (0, 2), (2, 2)], "u long, v long"), "pairs")
+    got = line_dedup.verified(met, texts)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(xxhash64(") == 2
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (2, 2)]
+
+
+def test_buckets_of_one_component_are_not_compared_again(spark):
+    """Of classes only buckets that hold lines of different components stay, and lines that are in one of them."""
+    rows = [(1, 10, 0b001, 5), (1, 11, 0b010, 6), (2, 20, 0b011, 7), (2, 21, 0b101, 7), (2, 22, 0b110, 8), (3, 30, 0b111, 9)]
+    placed = spark.createDataFrame(rows, "lead long, line_id long, bands long, own long")
+    got = line_dedup.meeting(placed).select("lead", "line_id", "bands", "own")
+    assert sorted(map(tuple, got.collect())) == [(2, 20, 0b010, 7), (2, 21, 0b100, 7), (2, 22, 0b110, 8)]
+
+
+def test_a_shingle_has_one_hash_whatever_else_its_line_holds(spark):
+    """A line with a character of two UTF-16 units still meets its copies without it, also where a shingle begins with a byte order mark."""
+    base = "\ufeffthe quick brown fox jumps over the lazy dog and \ufeffnever looks back at what is left there"
+    rows = line_dedup.signatures(line_dedup.occurrences(docs(spark, (1, base), (2, base + "\U0001d6fc")))).collect()
+    assert len(rows) == 2
+    assert sum(rows[0][f"b{b}"] == rows[1][f"b{b}"] for b in range(len(line_dedup.BANDS))) > 6
